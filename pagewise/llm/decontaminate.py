@@ -222,3 +222,31 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "found.items").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+DIGEST_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), items as (
+  select cast(item_id as varchar) as item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), item_windows as (
+  select distinct item, m, array_to_string(list_slice(w, i, i + m - 1), ' ') as win
+  from (select item, w, least(10, len(w)) as m, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from items where len(w) > 0)
+), doc_windows as (
+  select r, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') as win
+  from (select r, w, m, unnest(range(1, len(w) - m + 2)) as i from docs, (select distinct m from item_windows) where len(w) >= m)
+), hits as (
+  select d.r, d.m, d.i, t.item from doc_windows d join item_windows t on d.m = t.m and d.win = t.win
+), hit_words as (
+  select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + m)) as p from hits) group by r
+), hit_items as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, item from hits) group by r
+)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hit_words using (r) left join hit_items using (r)
+"""

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, linededup, sharding
+from . import bpe, decontaminate, langid, linededup, quality, sharding, toxicity
 from .common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +36,6 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op6_line_dedup, op7_bpe, op9_shard)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_decontaminate, op5_langid, op6_line_dedup, op7_bpe, op9_shard)}
 
-ORACLES = {"op6_line_dedup": linededup.DIGEST_SQL}
+ORACLES = {"op4_decontaminate": decontaminate.DIGEST_SQL, "op6_line_dedup": linededup.DIGEST_SQL}
