@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, linededup, quality, sharding, simhash, toxicity
+from . import bpe, decontaminate, langid, linededup, quality, secrets, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -40,6 +40,10 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_decontaminate, op5_langid, op6_line_dedup, op7_bpe, op8_simhash, op9_shard)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_decontaminate, op5_langid, op6_line_dedup, op7_bpe, op8_simhash, op9_shard, op10_secrets)}
 
 ORACLES = {"op4_decontaminate": decontaminate.DIGEST_SQL, "op6_line_dedup": linededup.DIGEST_SQL}
