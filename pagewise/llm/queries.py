@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, linededup, quality, secrets, sharding, simhash, toxicity
+from . import ann, bpe, decontaminate, langid, linededup, quality, secrets, sharding, simhash, toxicity
 from .common import read_table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op4_decontaminate, op5_langid, op6_line_dedup, op7_bpe, op8_simhash, op9_shard, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_ann, op4_decontaminate, op5_langid, op6_line_dedup, op7_bpe, op8_simhash, op9_shard, op10_secrets)}
 
 ORACLES = {"op4_decontaminate": decontaminate.DIGEST_SQL, "op6_line_dedup": linededup.DIGEST_SQL}
