@@ -1,0 +1 @@
+"""Scalar and aggregate functions as Column expressions."""

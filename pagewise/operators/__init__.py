@@ -1,0 +1 @@
+"""Operators over pages, blocks, cells and lines."""

@@ -1,0 +1 @@
+"""Engines, the staged pipeline and the registered queries."""

@@ -1,0 +1 @@
+"""Continuous ingestion on Structured Streaming."""
