@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from ..session import materialise as cut
+
+__all__ = ["STEP_BYTES", "cut", "ensure_checkpoint_dir", "id_crc", "model_rows", "read_table", "spare_name", "text_steps", "tokenizer_path"]
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -19,21 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewise-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, write it to the checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def id_crc(col: Column) -> Column:
     """crc32 of the id written as text; 0, as for an empty text, where the id is null."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")), F.lit(0))
@@ -73,11 +62,13 @@ def model_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: s
         .select("text", "y", "doc_id")
         .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
         .limit(bound)  # repeated rows of a doc_id would go beyond the bound
-        .collect()
+        .select("text", "y")
+        .toArrow()
     )
     seen: dict[str, int] = {}
-    for r in found:
-        seen[r.text] = max(seen.get(r.text, 0), r.y)
+    for text, y in zip(found["text"], found["y"].to_pylist()):
+        text = text.as_py()
+        seen[text] = max(seen.get(text, 0), y)
     return list(seen.items())
 
 

@@ -75,8 +75,9 @@ class FactorizationMachine:
         out = cls(float(np.log(prior / (1 - prior))), np.zeros(buckets), np.zeros((buckets, factors)), prior)
         if not rows or y.min() == y.max():
             return out
-        raw = [t.encode() for t, _ in rows]
-        idx, ptr = terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), buckets)
+        parts = [terms(data, offsets, buckets) for _, _, data, offsets in text_steps(pa.array([t for t, _ in rows], pa.large_string()))]
+        idx = np.concatenate([i for i, _ in parts])
+        ptr = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p) for _, p in parts]))])
         frequent = np.bincount(idx, minlength=buckets) >= MIN_TEXTS
         owner = np.repeat(np.arange(len(rows)), np.diff(ptr))
         yes = np.bincount(idx, weights=y[owner], minlength=buckets) + 0.5
