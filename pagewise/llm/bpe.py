@@ -6,7 +6,9 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -16,8 +18,8 @@ from pyspark.sql import types as T
 from .common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose encoding a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 150_000
+#: Stretches without white space, and words, whose encoding a Python worker remembers; beyond that it starts anew.
+REMEMBERED = 200_000
 #: Bytes of text in one batch of results.
 OUT_BYTES = 2 << 20
 
@@ -30,6 +32,26 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class _Known(dict):
+    """Answers by key; a new key is answered when it is asked for, and a full table starts anew."""
+
+    def __init__(self, answer, most: int):
+        super().__init__()
+        self.answer, self.most = answer, most
+
+    def __missing__(self, key: str):
+        got = self.answer(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = got
+        return got
+
+
+#: Bits of a symbol's id in a pair of two, and of a place in an entry of the queue.
+_ID, _PLACE = 20, 32
+_MASK = (1 << _PLACE) - 1
+
+
 class Bpe:
     """Encodes as the library does for NFC, white space to one space, lower case, a pattern that splits, byte letters and merges with a word end."""
 
@@ -38,103 +60,141 @@ class Bpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.suffix: str = model["end_of_word_suffix"] or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        suffix: str = model["end_of_word_suffix"] or ""
+        #: By pair of ids: the rank, and the id of what the pair becomes.
+        self.merges: dict[int, tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault(self.vocab[a] << _ID | self.vocab[b], (rank, self.vocab[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"], regex.V0)
+        self.split = regex.compile(split["pattern"]["Regex"], regex.V0)
         self.space = regex.compile(r"\p{White_Space}+")
-        self.letters = byte_letters()
-        self.remembered = remembered
-        self.known: dict[str, tuple[int, tuple[int, ...], str, str]] = {}
+        letters = byte_letters()
+        self.first = [self.vocab.get(letters[b]) for b in range(256)]
+        self.last = [self.vocab.get(letters[b] + suffix) for b in range(256)]
+        self.words = _Known(self.word, 2 * remembered)
+        self.known = _Known(self.stretch, remembered)
 
     def merge(self, symbols: list[int]) -> list[int]:
-        """Apply merges by rank, then from the left: a heap of pairs over a doubly linked list; entries whose pair has changed are skipped."""
+        """Apply merges by rank, then from the left: a queue of (rank, place) over a doubly linked list.
+
+        An entry is stale, and skipped, where the pair at its place no longer has its rank.
+        """
         n = len(symbols)
-        sym, before, after = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-        merges = self.merges
-        heap = []
+        if n < 2:
+            return symbols
+        sym, get = symbols, self.merges.get
+        queue = []
+        left = sym[0]
         for i in range(n - 1):
-            if found := merges.get((sym[i], sym[i + 1])):
-                heap.append((found[0], i, found[1], sym[i], sym[i + 1]))
-        heapq.heapify(heap)
-        while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            right = sym[i + 1]
+            if found := get(left << _ID | right):
+                queue.append(found[0] << _PLACE | i)
+            left = right
+        if not queue:
+            return sym
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
+        while queue:
+            entry = pop(queue)
+            i = entry & _MASK
             j = after[i]
-            if sym[i] != left or j < 0 or sym[j] != right:
-                continue  # stale
-            sym[i], sym[j] = new, -1
+            if j >= n or sym[i] < 0:
+                continue
+            found = get(sym[i] << _ID | sym[j])
+            if not found or found[0] != entry >> _PLACE:
+                continue
+            sym[i] = new = found[1]
+            sym[j] = -1
             after[i] = k = after[j]
-            after[j] = -1
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if found := merges.get((new, sym[k])):
-                    heapq.heappush(heap, (found[0], i, found[1], new, sym[k]))
-            if (p := before[i]) >= 0 and (found := merges.get((sym[p], new))):
-                heapq.heappush(heap, (found[0], p, found[1], sym[p], new))
+                if found := get(new << _ID | sym[k]):
+                    push(queue, found[0] << _PLACE | i)
+            p = before[i]
+            if p >= 0 and (found := get(sym[p] << _ID | new)):
+                push(queue, found[0] << _PLACE | p)
         return [s for s in sym if s >= 0]
 
     def word(self, word: str) -> list[int]:
-        letters = [self.letters[b] for b in word.encode()]
-        if not letters:
-            return []
-        letters[-1] += self.suffix
-        return self.merge([i for x in letters if (i := self.vocab.get(x)) is not None])
-
-    def pieces(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
-        """The ids and the vocabulary strings, joined by spaces, of each word and special token."""
-        for part in self.cut.split(text) if self.cut and "<" in text else (text,):
+        raw = word.encode()
+        first = self.first
+        symbols = [first[b] for b in raw[:-1]]
+        symbols.append(self.last[raw[-1]])
+        return self.merge(symbols if None not in symbols else [x for x in symbols if x is not None])
+
+    def stretch(self, part: str) -> tuple[tuple[int, ...], str]:
+        """The ids and the vocabulary strings, joined by spaces, of a lower-case stretch without white space. Words never reach over white space."""
+        if part.isalpha():
+            ids = tuple(self.words[part])
+        elif part[:-1].isalpha() and part[-1] in ",.;:!?":  # most of the others; the pattern would part them so
+            ids = (*self.words[part[:-1]], *self.words[part[-1]])
+        else:
+            ids = tuple(chain.from_iterable([self.words[w] for w in self.split.findall(part)]))
+        names = self.names
+        return ids, " ".join([names[i] for i in ids])
+
+    def stretches(self, text: str) -> list[str]:
+        """The lower-case stretches between white space."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # str.split() takes these for white space
+            return [x for x in self.space.sub(" ", text).lower().split(" ") if x]
+        return text.lower().split()
+
+    def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """The answers for each stretch and special token of a text, in order."""
+        known = self.known
+        if "<|" not in text or not self.cut:
+            return [known[w] for w in self.stretches(text)]
+        out: list[tuple[tuple[int, ...], str]] = []
+        for part in self.cut.split(text):
             if (special := self.special.get(part)) is not None:
-                yield (special,), part
-                continue
-            part = part if part.isascii() else self.space.sub(" ", unicodedata.normalize("NFC", part))
-            known = self.known
-            for w in self.words.findall(part.lower() if "Σ" not in part else part.replace("Σ", "σ").lower()):
-                if (got := known.get(w)) is None:
-                    if len(known) >= self.remembered:
-                        known.clear()
-                    ids = tuple(self.word(w))
-                    got = known[w] = (ids, " ".join(self.names[i] for i in ids))
-                yield got
+                out.append(((special,), part))
+            else:
+                out += [known[w] for w in self.stretches(part)]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return list(chain.from_iterable([ids for ids, _ in self.pieces(text)]))
 
     def decode(self, ids) -> str:
         """The vocabulary strings, joined as the library joins them when a file names no decoder."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+_loaded: dict[str, Bpe] = {}
+
+
+def loaded(path: str) -> Bpe:
+    """One Bpe for each vocabulary in a Python worker, with what it remembers."""
+    if path not in _loaded:
+        _loaded[path] = Bpe(path)
+    return _loaded[path]
+
+
 def _encode(path: str, text: str, names: list[str], columns: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = loaded(path)
 
         def out(part, ids, decoded):
-            values = pa.array([i for x in ids for i in x], pa.int32())
-            ends = [0]
-            for x in ids:
-                ends.append(ends[-1] + len(x))
-            return pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(decoded, pa.string())], names=[*names, *columns])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            values = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            return pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], names=[*names, *columns])
 
         for batch in batches:
             texts, first, held = batch.column(names.index(text)), 0, 0
             ids: list[list[int]] = []
             decoded: list[str] = []
-            for k, value in enumerate(texts):
-                own: list[int] = []
-                strings: list[str] = []
-                body = value.as_py() or ""
-                for i, s in bpe.pieces(body):
-                    if i:
-                        own += i
-                        strings.append(s)
-                ids.append(own)
-                decoded.append(" ".join(strings))
-                held += len(body)
+            for k, body in enumerate(texts.to_pylist()):
+                got = bpe.pieces(body or "")
+                ids.append(list(chain.from_iterable([i for i, _ in got])))
+                decoded.append(" ".join([s for i, s in got if i]))
+                held += len(body or "")
                 if held >= OUT_BYTES:
                     yield out(batch.slice(first, k + 1 - first), ids, decoded)
                     first, held, ids, decoded = k + 1, 0, [], []
@@ -163,7 +223,7 @@ def decode_ids(df: DataFrame, path: str | None = None, ids: str = "ids", decoded
     names = df.columns
 
     def run(batches):
-        bpe = Bpe(where)
+        bpe = loaded(where)
         for batch in batches:
             got = [bpe.decode(x.as_py() or ()) for x in batch.column(names.index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*names, decoded])
