@@ -122,6 +122,69 @@ def best_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.n
     return (np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)) if out_q else (empty, empty, empty.astype(float))
 
 
+@dataclass
+class _BestOf:
+    """Scores the blocks of a partition as they stream by, sorted by block and role, and keeps the best k of each query over all of them."""
+
+    k: int
+    #: Rows that are kept before only the best of them go on, and rows beyond which those are handed out.
+    held: int = 200_000
+    most: int = 1_000_000
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, ...]] = []
+        rest: pa.Table | None = None
+        size = 0
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            rest = part if rest is None else pa.concat_tables([rest, part])
+            block = np.stack([rest[c].to_numpy() for c in ("leaf", "vb", "qb")])
+            cuts = np.concatenate([[0], np.flatnonzero((block[:, 1:] != block[:, :-1]).any(0)) + 1]) if len(rest) else np.zeros(1, int)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                kept.append(self.block(rest.slice(a, b - a)))
+                size += len(kept[-1][0])
+            rest = rest.slice(cuts[-1]).combine_chunks()
+            if size > self.held:
+                kept = [self.reduced(kept)]
+                size = len(kept[0][0])
+                if size > self.most:
+                    yield self.rows(kept[0])
+                    kept, size = [], 0
+        if rest is not None and len(rest):
+            kept.append(self.block(rest))
+        if kept:
+            yield self.rows(self.reduced(kept))
+
+    def block(self, group: pa.Table) -> tuple[np.ndarray, ...]:
+        """h1, h2, c1, c2, id, score of the best pairs of a block's queries and vectors. A query's own vector is a candidate here: its copies have other ids."""
+        role = group["role"].to_numpy()
+        n = int((role == 0).sum())
+        b, a = group.slice(0, n), group.slice(n)
+        if not len(a) or not len(b):
+            return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0),)
+        ids = b["id"].to_numpy()
+        q, c, s = best_of(_matrix(a["vec"]), np.full(len(a), np.iinfo(np.int64).min), _matrix(b["vec"]), ids, self.k)
+        pick = lambda t, name, at: t[name].to_numpy()[at]
+        return pick(a, "h1", q), pick(a, "h2", q), pick(b, "h1", c), pick(b, "h2", c), ids[c], s
+
+    def reduced(self, parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """The best k different candidates of each query."""
+        h1, h2, c1, c2, ids, s = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((c2, c1, ids, -s, h2, h1))
+        h1, h2, c1, c2, ids, s = (x[order] for x in (h1, h2, c1, c2, ids, s))
+        if len(h1):  # the same pair from several trees has the same score, so it stands together
+            again = np.concatenate([[False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1])])
+            h1, h2, c1, c2, ids, s = (x[~again] for x in (h1, h2, c1, c2, ids, s))
+            first = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            place = np.arange(len(h1)) - np.maximum.accumulate(np.where(first, np.arange(len(h1)), 0))
+            h1, h2, c1, c2, ids, s = (x[place < self.k] for x in (h1, h2, c1, c2, ids, s))
+        return h1, h2, c1, c2, ids, s
+
+    @staticmethod
+    def rows(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "c1", "c2", "id", "score"])
+
+
 def distinct_vectors(rows: DataFrame, vec_id: str, vector: str, is_query: Column, k: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, members). nodes: h1, h2, vec, asked, ids: one row for each distinct vector, its k + 1 smallest ids
     and whether a query has it; members: h1, h2, vec_id of the queries.
@@ -183,7 +246,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     of one priority queue over all trees; how many is settled by the exact neighbours of CALIBRATION
     queries, so that recall holds at any size and for any data. Leaves are dealt out with their
     queries, in blocks of bounded size, and scored by matrix products; only the best k of a query and
-    block move on.
+    task move on.
     """
     nodes, members = distinct_vectors(rows, vec_id, vector, is_query, k)
     n, top, dim = nodes.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("vec"))).collect()[0]
@@ -229,16 +292,13 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
         ours = lambda role, blocks_: F.when(F.col("role") == role, F.array(F.pmod(F.xxhash64("h1", "h2"), F.col(blocks_)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(blocks_) - 1))
         dealt = dealt.withColumn("vb", F.explode(ours(0, "v_blocks"))).withColumn("qb", F.explode(ours(1, "q_blocks")))
 
-    def score(group: pa.Table) -> pa.Table:
-        role = group["role"].to_numpy()
-        a, b = group.filter(pa.array(role == 1)), group.filter(pa.array(role == 0))
-        ids = b["id"].to_numpy()
-        # The query's own vector is a candidate here: its copies have other ids.
-        q, c, s = best_of(_matrix(a["vec"]), np.full(len(a), np.iinfo(np.int64).min), _matrix(b["vec"]), ids, k + 1) if len(a) and len(b) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        pick = lambda t, name, at: pa.array(t[name].to_numpy()[at])
-        return pa.table({"h1": pick(a, "h1", q), "h2": pick(a, "h2", q), "c1": pick(b, "h1", c), "c2": pick(b, "h2", c), "id": pa.array(ids[c]), "score": pa.array(s)})
-
-    found = dealt.select("leaf", "vb", "qb", "role", "h1", "h2", "id", "vec").groupBy("leaf", "vb", "qb").applyInArrow(score, "h1 long, h2 long, c1 long, c2 long, id long, score double")
+    best = _BestOf(k + 1)
+    found = (
+        dealt.select("leaf", "vb", "qb", "role", "h1", "h2", "id", "vec")
+        .repartition("leaf", "vb", "qb")
+        .sortWithinPartitions("leaf", "vb", "qb", "role")
+        .mapInArrow(best.run, "h1 long, h2 long, c1 long, c2 long, id long, score double")
+    )
     w = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "id")
     rank = F.row_number().over(w)
     # A pair is met once in each tree at most, so this many rows hold the best k + 1 pairs; the rest go before the exchange.
