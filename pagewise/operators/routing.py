@@ -93,7 +93,7 @@ def add_reason(reasons: Column, reason: str) -> Column:
 
 def incomplete_documents(pages: DataFrame) -> DataFrame:
     """document_id, number and reason of the first page that some engine still owes. Vision failures don't count."""
-    owed = F.filter("reasons", lambda r: r.isin(*INCOMPLETE_REASONS))[0]
+    owed = F.get(F.filter("reasons", lambda r: r.isin(*INCOMPLETE_REASONS)), F.lit(0))
     return pages.withColumn("owed", owed).where("owed is not null").groupBy("document_id").agg(F.min("number").alias("number"), F.min_by("owed", "number").alias("reason"))
 
 
