@@ -48,7 +48,8 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     lines; rows that repeat a doc_id count as one document and share a bitmap, by position.
     """
     seen = cut(occurrences(docs, doc_id, text, min_chars))
-    heads = seen.groupBy("h1", "h2").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where("holder < other").drop("other")
+    # Heads are written, so that the join has an exchange on either side: only then can Spark split a key of very many lines.
+    heads = cut(seen.groupBy("h1", "h2").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where("holder < other").drop("other"))
     lost = seen.join(heads, ["h1", "h2"]).where("doc <> holder").select("doc", "pos")
     # A run is what stays equal in pos minus the rank: gathered positions, sorted, cut where a gap is.
     runs = lost.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select(
