@@ -15,6 +15,7 @@ from ..functions import metrics, quality, text
 from ..operators import jobs, layout, routing, tables
 from ..operators.render import render_documents
 from ..schemas import BLOCK
+from ..session import spread
 from ..sources import store
 from . import router
 from .engines import ImageEngine, NativeEngine, StubOcr
@@ -37,6 +38,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for queries that work long on each text."""
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def rounded(c: Column) -> Column:
     return F.round(c, 6)
 
@@ -74,7 +80,7 @@ ADDITIVE = "case when n = 0 then 0.0 else 0.30 * d + 0.25 * (1 - r) + 0.30 * w +
 
 
 def scored_documents(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     pages = docs.select("doc_id", "lang", "source", one_block(body, F.lit(None)).alias("blocks"), F.lit("native").alias("type"), F.lit(1.0).alias("confidence"))
     return quality.score_pages(pages)
 
@@ -118,7 +124,7 @@ select doc_id, round(case when measured > 0 then weighted / measured end, 6) as
 )
 def measured_confidence(spark, sf_dir):
     """Confidence by length over the lines that have one, and the share of text that they are."""
-    docs = read(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     lines = F.transform(
         F.split("text", "\n"),
         lambda line, i: F.struct(line.alias("text"), F.when(i % 4 == 3, F.lit(None)).otherwise(((F.col("doc_id") * 7 + i * 13) % 100) / 100.0).cast("double").alias("confidence")),
@@ -370,13 +376,13 @@ t as (select doc_id, i, array_to_string(list_transform(string_split(part, chr(10
 select doc_id, row_number() over (partition by doc_id order by i) - 1 as position, text from t where regexp_matches(text, '[^\s\x{B}\x{85}\p{Z}]')"""
 )
 def text_paragraphs(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select("doc_id", F.posexplode(text.paragraphs(broken_up(F.col("text")))).alias("position", "text")).withColumn("position", F.col("position").cast("long"))
 
 
 def markdown_sources(spark, sf_dir) -> DataFrame:
     """Each document as a Markdown file: a title, a list and a table of its own words, and its text."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     words = F.slice(text.tokens(F.col("text")), 1, 6)
     body = F.concat(
         F.lit("# "), "source", F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\n- "), F.array_join(words, "\n- "), F.lit("\n\n| word | length |\n|---|---|\n"),
@@ -404,7 +410,7 @@ def markdown_view(spark, sf_dir):
 @query()
 def process_documents(spark, sf_dir):
     """The whole pipeline over every document as a text file: pages with their scores."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     src = store.from_table(d, "doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).drop("key").dropDuplicates(["document_id"])
     pages = router.process(src, [NativeEngine(), ImageEngine()], StubOcr()).pages
     return pages.select("document_id", "number", "type", F.size("blocks").alias("n_blocks"), rounded(F.col("quality.score")).alias("score"), F.col("quality.escalated").alias("escalated"))
@@ -453,7 +459,7 @@ select doc_id, round(case when a = '' and b = '' then 0.0 when a = '' or b = ''
 )
 def disagreement(spark, sf_dir):
     """Two readings of each ASCII text. SQL counts bytes, so only those compare."""
-    d = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    d = texts(spark, sf_dir).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
     a, b = F.substring("text", 1, 600), F.substring(F.regexp_replace("text", "[aeiou]", ""), 1, 500)
     return d.select("doc_id", rounded(metrics.disagreement(a, b)).alias("disagreement"), rounded(metrics.cer(a, b)).alias("cer"))
 

@@ -32,3 +32,9 @@ def materialise(df: DataFrame) -> DataFrame:
     """Compute df once and write it to the checkpoint folder: what is read by several branches must not run several times."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if a scan has fewer partitions than there are cores: a file of one row group is one task, however long its rows take. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
