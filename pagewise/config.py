@@ -28,3 +28,16 @@ class Config:
             raise ValueError("vision_max_pages, ocr_shards and upload_bytes are positive")
         if self.ttl_seconds is not None and self.ttl_seconds <= 0:
             raise ValueError("ttl_seconds is positive, or None for no sweep")
+
+    @classmethod
+    def from_env(cls, env: dict[str, str], prefix: str = "PAGEWISE_") -> Config:
+        """Settings from variables such as PAGEWISE_OCR_THRESHOLD; what is not set keeps its default."""
+        kinds = {"ocr_threshold": float, "vision_threshold": float, "vision_disagreement": float, "vision_max_pages": int, "ocr_shards": int, "upload_bytes": int, "ttl_seconds": int, "vision_probe": lambda v: {"true": True, "1": True, "false": False, "0": False}[v.lower()]}
+        found = {}
+        for name, kind in kinds.items():
+            if (raw := env.get(prefix + name.upper(), "").strip()) != "":
+                try:
+                    found[name] = kind(raw)
+                except (ValueError, KeyError) as e:
+                    raise ValueError(f"{prefix}{name.upper()}={raw!r} is no valid setting") from e
+        return cls(**found)
