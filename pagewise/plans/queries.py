@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, quality, text
-from ..operators import jobs, layout, routing, tables
+from ..operators import checks, jobs, layout, routing, tables, tiers
 from ..operators.render import render_documents
 from ..schemas import BLOCK
 from ..session import spread
 from ..sources import store
 from . import router
-from .engines import ImageEngine, NativeEngine, StubOcr
+from .engines import ImageEngine, NativeEngine, PdfEngine, StubOcr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -416,6 +416,48 @@ def process_documents(spark, sf_dir):
     return pages.select("document_id", "number", "type", F.size("blocks").alias("n_blocks"), rounded(F.col("quality.score")).alias("score"), F.col("quality.escalated").alias("escalated"))
 
 
+@query("select 0::bigint as violations")
+def invariant_violations(spark, sf_dir):
+    """Broken invariants of the pages that the pipeline makes of every document; there are none."""
+    d = texts(spark, sf_dir)
+    src = store.from_table(d, "doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).drop("key").dropDuplicates(["document_id"])
+    result = router.process(src, [NativeEngine(), PdfEngine(), ImageEngine()], StubOcr())
+    found = checks.page_violations(result.pages).select("document_id").union(checks.document_violations(result.documents, result.pages).select("document_id"))
+    return found.agg(F.count("*").alias("violations"))
+
+
+@query("select conv_id as document_id, string_agg(distinct case when turn % 3 = 0 then 'ocr' when turn % 3 = 1 then 'pdf' else 'vision' end, ',' order by case when turn % 3 = 0 then 'ocr' when turn % 3 = 1 then 'pdf' else 'vision' end) as engines, count(*) as pages from conversations group by conv_id")
+def engines_used(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    name = F.when(F.col("turn") % 3 == 0, "ocr").when(F.col("turn") % 3 == 1, "pdf").otherwise("vision")
+    pages = c.select(F.col("conv_id").alias("document_id"), F.array(F.struct(F.struct(name.alias("engine")).alias("provenance"))).alias("blocks"))
+    n = c.groupBy(F.col("conv_id").alias("document_id")).agg(F.count("*").alias("pages"))
+    return checks.engines_used(pages).select("document_id", F.array_join("engines", ",").alias("engines")).join(n, "document_id")
+
+
+@query("select doc_id, case when doc_id % 4 = 0 then 200 when doc_id % 4 = 1 then 200 else 415 end as status, case when doc_id % 4 = 0 then 'native' when doc_id % 4 = 1 then 'image' end as engine from documents")
+def inspect_documents(spark, sf_dir):
+    """Which engine knows a file, before any is read: Markdown, an image under any name, unknown, and an old binary format."""
+    d = texts(spark, sf_dir)
+    k = F.col("doc_id") % 4
+    name = F.when(k == 0, "x.md").when(k == 3, "x.doc").otherwise("x.unknown")
+    content = F.when(k == 1, F.unhex(F.lit("FFD8FFE0"))).otherwise(F.col("text").cast("binary"))
+    src = d.select(F.col("doc_id").alias("document_id"), name.alias("filename"), F.lit(None).cast("string").alias("media_type"), F.lit("").alias("sha256"), F.lit(0).cast("long").alias("size_bytes"), content.alias("content"))
+    seen = router.inspect(src.withColumn("document_id", F.col("document_id").cast("string")), [NativeEngine(), ImageEngine()])
+    return seen.select(F.col("document_id").cast("long").alias("doc_id"), F.when(F.col("engine").isNull(), text.http_status(F.col("error_kind"))).otherwise(200).alias("status"), "engine")
+
+
+@query()
+def layout_pages(spark, sf_dir):
+    """Pages of the layout tier: the orders of a customer as regions, every other one a table."""
+    r, lines = regions_and_lines(spark, sf_dir)
+    html = F.concat(F.lit("<table><tr><th>order</th></tr><tr><td>"), F.col("region_id").cast("string"), F.lit("</td></tr></table>"))
+    r = r.withColumns({"content": F.when(F.col("label") == "table", html).otherwise(F.concat(F.lit("order "), F.col("region_id").cast("string"))), "ord": F.col("region_id").cast("int")})
+    sizes = r.select("document_id", "page").distinct().withColumns({"scale": F.lit(1.0), "width_pt": F.lit(612.0), "height_pt": F.lit(792.0)})
+    pages = quality.score_pages(tiers.layout_pages(r, lines, sizes, "layout", "1"))
+    return pages.select("document_id", "number", "confidence", F.size("blocks").alias("n_blocks"), F.size("cells").alias("n_cells"), rounded(F.col("quality.score")).alias("score"))
+
+
 def order_lines(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
 
