@@ -10,6 +10,9 @@ import numpy as np
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 20
+
 _P = 0x9E3779B97F4A7C15  # odd, so that powers have inverses modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
@@ -42,11 +45,21 @@ class Words:
     low: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """Equal words have equal values; different words, almost never."""
-        p, q = _upto(len(self.low) + 1)
-        sums = np.zeros(len(self.low) + 1, np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * p[: len(self.low)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * q[self.starts])
+        """Equal words have equal values; different words, almost never. A long text's words are hashed piece by piece."""
+        n = len(self.starts)
+        out = np.empty(n, np.uint64)
+        k = 0
+        while k < n:
+            base = self.starts[k]
+            e = max(k + 1, int(np.searchsorted(self.ends, base + PIECE, "right")))
+            part = self.low[base : self.ends[e - 1]]
+            p, q = _upto(len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=sums[1:])
+            starts, ends = self.starts[k:e] - base, self.ends[k:e] - base
+            out[k:e] = (sums[ends] - sums[starts]) * q[starts]
+            k = e
+        return mix(out)
 
     def texts(self) -> np.ndarray:
         """The text that each word is of."""

@@ -16,8 +16,8 @@ from .bytewords import byte_class, find_words, mix
 from .common import spare_name, text_steps
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast set; a larger benchmark is taken in several passes.
-SET_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast set, whose windows take some 40 times that in memory; a larger benchmark is taken in several passes.
+SET_BYTES = 4 << 20
 #: Word bytes: 0-9, a-z (after lower-casing) and every byte of a character beyond ASCII.
 WORD = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 _STEP = np.uint64(0xD6E8FEB86659FD93)

@@ -23,16 +23,21 @@ EPOCHS, BATCH, RATE = 10, 64, 0.004
 THRESHOLD = 0.3
 
 
-def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks of each text, filled up with zero bytes, and the number of them; an empty text has one."""
-    sizes = np.diff(offsets)
-    counts = np.maximum(1, -(-(sizes - CHUNK) // HOP) + 1)
-    owner = np.repeat(np.arange(len(sizes)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts, ends = offsets[owner] + place * HOP, offsets[owner + 1]
+def chunk_counts(offsets: np.ndarray) -> np.ndarray:
+    """The number of chunks of each text; an empty text has one."""
+    return np.maximum(1, -(-(np.diff(offsets) - CHUNK) // HOP) + 1)
+
+
+def chunked(data: np.ndarray, offsets: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Chunks first to end of all texts' chunks in a row, filled up with zero bytes."""
+    counts = chunk_counts(offsets)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    which = np.arange(first, end)
+    owner = np.searchsorted(before, which, "right") - 1
+    starts, ends = offsets[owner] + (which - before[owner]) * HOP, offsets[owner + 1]
     at = starts[:, None] + np.arange(CHUNK)
-    padded = np.concatenate([data, np.zeros(1, np.uint8)])
-    return padded[np.where(at < ends[:, None], at, len(data))], counts
+    inside = at < ends[:, None]
+    return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8) if len(data) else np.zeros(at.shape, np.uint8)
 
 
 @dataclass
@@ -76,8 +81,9 @@ class ConvNet:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The probability of label 1 for each text; for an empty one, that of the labelled texts."""
-        chunks, counts = chunked(data, offsets)
-        logits = np.concatenate([self.logits(chunks[i : i + 256]) for i in range(0, len(chunks), 256)]) if len(chunks) else np.zeros(0)
+        counts = chunk_counts(offsets)
+        total = int(counts.sum())
+        logits = np.concatenate([self.logits(chunked(data, offsets, i, min(i + 256, total))) for i in range(0, total, 256)]) if total else np.zeros(0)
         sums = np.add.reduceat(logits.astype(np.float64), np.cumsum(counts) - counts) if len(counts) else np.zeros(0)
         out = 1 / (1 + np.exp(-np.clip(sums / counts, -30, 30)))
         out[np.diff(offsets) == 0] = self.prior
@@ -123,7 +129,7 @@ class ConvNet:
         labels = np.array([y for _, y in rows], np.float32)
         net.prior = float((labels.sum() + 1) / (len(labels) + 2))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        counts = np.maximum(1, -(-(np.diff(offsets) - CHUNK) // HOP) + 1)
+        counts = chunk_counts(offsets)
         # Few chunks of each text, so that long ones don't rule; then their bytes alone.
         per_text = max(1, TRAIN_CHUNKS // len(rows))
         picks = [(i, k) for i, n in enumerate(counts) for k in (range(n) if n <= per_text else sorted(r.choice(n, per_text, replace=False)))]

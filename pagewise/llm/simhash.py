@@ -46,7 +46,10 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     first = np.repeat(found.ptr[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     last = first + np.repeat(np.minimum(n_words, shingle), counts) - 1
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(blob[a:b], SEED) for a, b in zip(starts[first].tolist(), (ends[last] - 1).tolist())), np.uint64, len(first))
+    h = np.empty(len(first), np.uint64)
+    for part in range(0, len(first), 65536):
+        own = slice(part, part + 65536)
+        h[own] = [digest(blob[a:b], SEED) for a, b in zip(starts[first[own]].tolist(), (ends[last[own]] - 1).tolist())]
     at = np.cumsum(counts) - counts
     # The bits of at most a few thousand shingles are unpacked at a time.
     full = np.flatnonzero(counts)
@@ -175,8 +178,8 @@ def link_fingerprints(fps: DataFrame, full_cell: int = FULL_CELL) -> DataFrame:
 
     Cells of pairs of bits are counted first, with partial sums. Those of full_cell fingerprints or
     fewer are dealt out and searched; the fingerprints of fuller ones go on to a second grid, of
-    single bits in bands that cross the first ones, inside their cell. That divides a crowded cell by
-    32 more bits, and whatever shares even that is searched in its task as it streams by.
+    single bits in bands that cross the first ones, inside their cell. At most 23 bits are then free, so
+    no cell of the second grid can hold more than 2**23 fingerprints, 64 MB, however large the table is.
     """
     first = cut(_cells(fps, 2, False, []))
     crowded = first.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > full_cell)

@@ -104,11 +104,31 @@ def test_unknown_texts_go(spark):
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 511, 512, 513, 1016, 1017, 5000):
         data = np.arange(n, dtype=np.int64).astype(np.uint8) | 1
-        chunks, counts = quality.chunked(data, np.array([0, n]))
+        counts = quality.chunk_counts(np.array([0, n]))
+        chunks = quality.chunked(data, np.array([0, n]), 0, counts[0])
         covered = sum((chunks[k] != 0).sum() for k in range(len(chunks))) - (quality.CHUNK - quality.HOP) * (counts[0] - 1)
         assert covered == n and len(chunks) == counts[0]
 
 
+def test_texts_are_scored_alike_alone_and_together():
+    net, r = quality.ConvNet.fresh(6), np.random.default_rng(7)
+    texts = [bytes(r.integers(32, 120, n, dtype=np.uint8)) for n in (0, 5, 600, 200_000, 1, 512, 0, 3000)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.scores(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    alone = [net.scores(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    assert np.allclose(got, alone, atol=1e-6)
+
+
+def test_words_of_a_long_text_hash_alike_in_pieces(monkeypatch):
+    from pagewise.llm import bytewords
+
+    data = np.frombuffer(("some words, and many more of them " * 400 + "x" * 5000 + " end").encode(), np.uint8)
+    found = bytewords.find_words(data, np.array([0, len(data)]), toxicity.WORD)
+    want = found.hashes()
+    monkeypatch.setattr(bytewords, "PIECE", 64)
+    assert np.array_equal(found.hashes(), want) and len(set(want.tolist())) == 9
+
+
 def test_convolution_by_brute_force():
     net = quality.ConvNet.fresh(3)
     chunk = np.random.default_rng(1).integers(0, 256, (2, quality.CHUNK), dtype=np.uint8)
