@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialise
+
 TERMINAL = ("done", "failed")
 
 
@@ -26,8 +28,9 @@ def submit(sources: DataFrame, depth: int | None = None) -> DataFrame:
 def newest_first(jobs: DataFrame) -> DataFrame:
     """jobs with place, from 1; the newest first, then by id."""
     ordered = jobs.orderBy(F.desc("created_at"), "id")
-    # Places come from sizes of sorted partitions, not from one task that ranks all rows.
-    parts = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    # Places come from sizes of sorted partitions, not from one task that ranks all rows. They are written
+    # first, as two plans of the same sort need not cut it at the same rows.
+    parts = materialise(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
     starts, total = {}, 0
     for p in sorted(sizes):
