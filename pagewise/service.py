@@ -50,6 +50,9 @@ class Library:
             result = process(new.drop("modified_at"), self.engines, self.ocr, self.vision, self.config, cache=self.cache)
             for name, rows in (("documents", result.documents), ("pages", result.pages), ("failures", result.failures), ("runs", result.runs), ("views", render_documents(result.documents, result.pages))):
                 rows.write.mode("append").parquet(f"{self.path}/{name}")
+            for engine in self.engines:
+                if hasattr(engine, "assets"):
+                    store.commit_assets(engine.assets(new).withColumn("blob_ref", F.lit(None).cast("string"))).write.mode("append").parquet(f"{self.path}/assets")
         done, failed = self.table("documents").select("document_id", F.col("metadata.page_count").alias("pages")), self.table("failures").dropDuplicates(["document_id"])
         out = jobs_.drop("state", "error_kind").join(done, "document_id", "left").join(failed, "document_id", "left")
         return out.withColumn("state", F.when(F.col("pages").isNotNull(), "done").otherwise("failed"))
@@ -66,6 +69,12 @@ class Library:
         row = found.where(F.col("document_id") == document_id).select(kind).take(1) if found is not None else []
         return row[0][0] if row else None
 
+    def asset(self, document_id: str, asset_id: str) -> tuple[str, bytes] | None:
+        """Media type and bytes of one asset; None if it is not there."""
+        found = self.table("assets")
+        row = store.asset(found, document_id, asset_id).select("media_type", "content").take(1) if found is not None else []
+        return (row[0].media_type, bytes(row[0].content)) if row else None
+
     def delete(self, gone: DataFrame) -> None:
         """Documents of gone (document_id) are no longer there; deleting what is not there changes nothing. compact() frees their bytes."""
         gone.select("document_id").distinct().write.mode("append").parquet(f"{self.path}/tombstones")
@@ -82,7 +91,7 @@ class Library:
 
     def compact(self, to: str) -> Library:
         """A library at another path without deleted rows; the old one stays as it is."""
-        for name in ("documents", "pages", "views", "failures", "runs", "blobs"):
+        for name in ("documents", "pages", "views", "failures", "runs", "assets", "blobs"):
             rows = self.table(name, "sha256" if name == "blobs" else "document_id")
             if rows is not None:
                 rows.write.mode("overwrite").parquet(f"{to}/{name}")

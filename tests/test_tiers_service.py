@@ -80,6 +80,17 @@ def test_a_library(spark, tmp_path):
     assert lib.compact(str(tmp_path / "new")).table("documents").count() == 0
 
 
+def test_assets_of_a_library(spark, tmp_path):
+    from test_office import docx
+
+    lib = Library(spark, str(tmp_path / "lib"), [NativeEngine()])
+    lib.submit(spark.createDataFrame([("d" * 64, "d.docx", None, "d" * 64, 1, docx())], SOURCES))
+    assert lib.asset("d" * 64, "a0") == ("image/png", b"png") and lib.asset("d" * 64, "a1") is None
+    assert "![pic](a0)" in lib.view("d" * 64) and lib.view("d" * 64).startswith("# A title\n")
+    lib.delete(spark.createDataFrame([("d" * 64,)], "document_id string"))
+    assert lib.asset("d" * 64, "a0") is None
+
+
 def test_settings_from_variables():
     assert Config.from_env({"PAGEWISE_OCR_THRESHOLD": "0.7", "PAGEWISE_VISION_PROBE": "false", "OTHER": "x"}) == Config(ocr_threshold=0.7, vision_probe=False)
     for bad in ({"PAGEWISE_OCR_SHARDS": "x"}, {"PAGEWISE_VISION_PROBE": "maybe"}, {"PAGEWISE_VISION_THRESHOLD": "0.9"}):
