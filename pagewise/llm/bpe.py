@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from .common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
-#: Stretches without white space, and words, whose encoding a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Stretches without white space, and half of the words, whose encoding a task remembers; beyond that it starts anew.
+REMEMBERED = 150_000
 #: Bytes of text in one batch of results.
 OUT_BYTES = 2 << 20
 
@@ -186,20 +186,25 @@ def _encode(path: str, text: str, names: list[str], columns: tuple[str, str]):
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             return pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], names=[*names, *columns])
 
-        for batch in batches:
-            texts, first, held = batch.column(names.index(text)), 0, 0
-            ids: list[list[int]] = []
-            decoded: list[str] = []
-            for k, body in enumerate(texts.to_pylist()):
-                got = bpe.pieces(body or "")
-                ids.append(list(chain.from_iterable([i for i, _ in got])))
-                decoded.append(" ".join([s for i, s in got if i]))
-                held += len(body or "")
-                if held >= OUT_BYTES:
-                    yield out(batch.slice(first, k + 1 - first), ids, decoded)
-                    first, held, ids, decoded = k + 1, 0, [], []
-            if ids:
-                yield out(batch.slice(first), ids, decoded)
+        try:
+            for batch in batches:
+                first, held = 0, 0
+                ids: list[list[int]] = []
+                decoded: list[str] = []
+                for at in range(0, batch.num_rows, 512):
+                    for k, body in enumerate(batch.column(names.index(text)).slice(at, 512).to_pylist(), at):
+                        got = bpe.pieces(body or "")
+                        ids.append(list(chain.from_iterable([i for i, _ in got])))
+                        decoded.append(" ".join([s for i, s in got if i]))
+                        held += len(body or "")
+                        if held >= OUT_BYTES:
+                            yield out(batch.slice(first, k + 1 - first), ids, decoded)
+                            first, held, ids, decoded = k + 1, 0, [], []
+                if ids:
+                    yield out(batch.slice(first), ids, decoded)
+        finally:  # an idle worker keeps the vocabulary, but not what it has seen
+            bpe.known.clear()
+            bpe.words.clear()
 
     return run
 
