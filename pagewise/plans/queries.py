@@ -500,12 +500,19 @@ def table_grid(spark, sf_dir):
 select doc_id, round(case when a = '' and b = '' then 0.0 when a = '' or b = '' then 1.0 else levenshtein(a, b) / greatest(length(a), length(b)) end, 6) as disagreement, round(case when a = '' then case when b = '' then 0.0 else 1.0 end else least(1.0, levenshtein(a, b) / length(a)) end, 6) as cer from p"""
 )
 def disagreement(spark, sf_dir):
-    """Two readings of each ASCII text. SQL counts bytes, so only those compare."""
+    """Two readings of the start of each ASCII text, as far as SQL, which counts bytes, can follow. disagreement_whole has every whole text."""
     d = texts(spark, sf_dir).where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
     a, b = F.substring("text", 1, 600), F.substring(F.regexp_replace("text", "[aeiou]", ""), 1, 500)
     return d.select("doc_id", rounded(metrics.disagreement(a, b)).alias("disagreement"), rounded(metrics.cer(a, b)).alias("cer"))
 
 
+@query()
+def disagreement_whole(spark, sf_dir):
+    """Two readings of every whole text, whatever its letters; only the disagreement has the reference's bound of MAX_COMPARED."""
+    a, b = F.col("text"), F.regexp_replace("text", "[aeiou]", "")
+    return texts(spark, sf_dir).select("doc_id", rounded(metrics.disagreement(a, b)).alias("disagreement"), rounded(metrics.cer(a, b)).alias("cer"))
+
+
 @query("select item_id, round(cast(2 as double) / (len(regexp_split_to_array(trim(text), '\\s+')) + 1), 6) as wer from benchmark where trim(text) <> ''")
 def wer(spark, sf_dir):
     """Benchmark texts read with their first word doubled and a word lost that stood behind them."""

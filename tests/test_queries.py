@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 from decimal import Decimal
 
 import __spark_entry__ as entry
@@ -66,3 +67,41 @@ def test_the_document_queries_stay_in_the_jvm(spark):
 def test_pages_of_one_document_don_t_reach_python_with_others(spark):
     out = queries.process_documents(spark, SF)
     assert out.where("score < 0 or score > 1 or n_blocks < 1").count() == 0
+
+
+def collapsed(t):
+    return re.sub(r"[^\S\x1c-\x1f]+", " ", t).strip(" ")
+
+
+def distance(a, b):
+    """Edit distance in code points, a column of the table as the bits of one number."""
+    if not a:
+        return len(b)
+    at, full, last, score = {}, (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down = full, 0
+    for c in b:
+        eq = at.get(c, 0)
+        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
+        ph, mh = down | full & ~(xh | up), up & xh
+        score += bool(ph & last) - bool(mh & last)
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        up, down = mh | full & ~(xv | ph), ph & xv
+    return score
+
+
+def test_disagreement_of_whole_texts_by_brute_force(spark, tmp_path):
+    assert distance("kitten", "sitting") == 3 and distance("", "ab") == 2 and distance("日本語", "日本") == 1
+    rows = [(1, "xyz " * 300 + "aeiou " * 900), (2, "Überfälle in Köln, " * 400), (3, "数字 aeiou\u2003x"), (4, ""), (5, "aeiou"), (6, "  \n "), (7, "b" * 4500 + "a" * 500)]
+    whole = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text").collect()
+    rows += [(100 + r.doc_id, r.text) for r in whole]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.disagreement, r.cer) for r in queries.disagreement_whole(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        a, b = collapsed(t), collapsed(re.sub("[aeiou]", "", t))
+        x, y = a[:4000], b[:4000]
+        want = 0.0 if not x and not y else 1.0 if not x or not y else distance(x, y) / max(len(x), len(y))
+        cer = min(1.0, distance(a, b) / len(a)) if a else float(bool(b))
+        assert got[i] == pytest.approx((want, cer), abs=1e-6), i
+    assert len(got) == len(rows) and got[1][0] > 0.3 and got[7] == (0.0, 0.1)
