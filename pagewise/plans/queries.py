@@ -353,6 +353,15 @@ def text_functions(spark, sf_dir):
     return d.select("doc_id", text.escape_markdown(raw).alias("escaped"), text.collapse(F.substring("text", 1, 200)).alias("collapsed"), text.longest_backtick_run(runs).cast("long").alias("longest_run"))
 
 
+@query(r"""with t as (select doc_id, regexp_replace(source || '_[' || lang || ']|`' || text, '([\\`*_\[\]<|])', '\\\1', 'g') as escaped, trim(regexp_replace(text, '[\s\x{B}\x{85}\p{Z}]+', ' ', 'g')) as collapsed from documents)
+  select doc_id, sha256(escaped) as escaped_sha256, length(escaped) as escaped_chars, sha256(collapsed) as collapsed_sha256, length(collapsed) as collapsed_chars from t""")
+def text_functions_whole(spark, sf_dir):
+    """escape_markdown and collapse of every whole text, as digests and lengths."""
+    t = read(spark, sf_dir, "documents").select("doc_id", text.escape_markdown(F.concat("source", F.lit("_["), "lang", F.lit("]|`"), "text")).alias("escaped"), text.collapse(F.col("text")).alias("collapsed"))
+    both = [c for n in ("escaped", "collapsed") for c in (F.sha2(F.col(n).cast("binary"), 256).alias(f"{n}_sha256"), F.length(n).cast("long").alias(f"{n}_chars"))]
+    return t.select("doc_id", *both)
+
+
 @query("select event_id, case event_id % 5 when 0 then 415 when 1 then 422 when 2 then 422 when 3 then 413 else 500 end as status, case event_id % 5 when 1 then 'unsupported' when 2 then 'malformed' when 3 then 'encrypted' when 4 then 'internal' end as exit_kind, greatest(72, least(600, event_id % 1000)) as dpi from events")
 def status_mapping(spark, sf_dir):
     k = F.col("event_id") % 5

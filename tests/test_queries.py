@@ -1,6 +1,7 @@
 """Every registered query that SQL can express, against DuckDB on the smallest tables."""
 
 import datetime as dt
+import hashlib
 import math
 import re
 from decimal import Decimal
@@ -105,3 +106,13 @@ def test_disagreement_of_whole_texts_by_brute_force(spark, tmp_path):
         cer = min(1.0, distance(a, b) / len(a)) if a else float(bool(b))
         assert got[i] == pytest.approx((want, cer), abs=1e-6), i
     assert len(got) == len(rows) and got[1][0] > 0.3 and got[7] == (0.0, 0.1)
+
+
+def test_text_functions_reach_the_end_of_a_text(spark, tmp_path):
+    long = "word " * 4000
+    rows = [(1, long + "a_b*c\\ \u00a0\u2003 end \n"), (2, long + "abc end"), (3, ""), (4, " [x]<|` ")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in queries.text_functions_whole(spark, str(tmp_path)).select("doc_id", "escaped_sha256", "escaped_chars", "collapsed_sha256", "collapsed_chars").collect()}
+    for i, t in rows:
+        a, b = re.sub(r"([\\`*_\[\]<|])", r"\\\1", f"s_[en]|`{t}"), collapsed(t)
+        assert got[i] == (hashlib.sha256(a.encode()).hexdigest(), len(a), hashlib.sha256(b.encode()).hexdigest(), len(b)), i
