@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import byte_class, find_words, mix
-from .common import spare_name, text_steps
+from .common import cut, spare_name, text_steps
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast set, whose windows take some 40 times that in memory; a larger benchmark is taken in several passes.
@@ -146,11 +146,9 @@ def _pass(windows: WindowSet, text: str, found: str, first: bool, clean: bool, n
                     for row, old in zip(rows, earlier[start:end]):
                         row["hit_ranges"] = _merged([(r["first"], r["end"]) for r in old["hit_ranges"]], row["hit_ranges"])
                         row["items"] = sorted({*old["items"], *row["items"]})
-                        row["cleaned"] = old["cleaned"]
                 if clean:
-                    for i in range(end - start):
-                        if i in hits or rows[i]["cleaned"] is not None:
-                            rows[i]["cleaned"] = windows.clean(rows[i]["cleaned"] if rows[i]["cleaned"] is not None else column[start + i].as_py())
+                    for i in hits:
+                        rows[i]["cleaned"] = windows.clean(column[start + i].as_py())
                 for row in rows:
                     row["hit_ranges"] = [{"first": a, "end": b} for a, b in row["hit_ranges"]]
                 part = batch.slice(start, end - start)
@@ -160,6 +158,54 @@ def _pass(windows: WindowSet, text: str, found: str, first: bool, clean: bool, n
     return run
 
 
+def without_ranges(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text without these ranges of its words, each from the start of its first word to the end of its last."""
+    raw = text.encode()
+    words = find_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), WORD)
+    keep, at = [], 0
+    for a, b in ranges:
+        keep.append(raw[at : int(words.starts[a])])
+        at = int(words.ends[b - 1])
+    return b"".join([*keep, raw[at:]]).decode(errors="replace")
+
+
+def _cut_hits(body: str, again: str, names: list[str]):
+    """body without the hit ranges of `again`, null where there are none; `again` goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[(r["first"], r["end"]) for r in x["hit_ranges"]] for x in batch.column(names.index(again)).to_pylist()]
+            cuts = [without_ranges(t.as_py(), r) if r else None for t, r in zip(batch.column(names.index(body)), hits)]
+            kept = [pa.array(cuts, pa.string()) if n == body else batch.column(k) for k, n in enumerate(names) if n != again]
+            yield pa.RecordBatch.from_arrays(kept, names=[n for n in names if n != again])
+
+    return run
+
+
+def _clean_in_rounds(rows: DataFrame, sets: list[WindowSet], text: str, found: str) -> DataFrame:
+    """rows with `cleaned`: all sets' hits are cut at once, and every set scans the cut texts again, until none hits.
+
+    A text is what it would be with one set of all windows. Each round is written to the checkpoint
+    folder; only rows that the round before has cut go into it.
+    """
+    body = spare_name(rows, "body")
+    rows = rows.withColumn(body, F.col(text).cast("string"))
+    again = spare_name(rows, "again")
+    rows, done = rows.withColumn(again, F.col(found)), None
+    while True:
+        kept = [f for f in rows.schema.fields if f.name != again]
+        cutted = rows.mapInArrow(_cut_hits(body, again, rows.columns), T.StructType(kept))
+        rows = cut(cutted.withColumn(found, F.col(found).withField("cleaned", F.coalesce(F.col(body), F.col(f"{found}.cleaned")))))
+        over = rows.where(F.col(body).isNull()).drop(body)
+        done = over if done is None else done.union(over)
+        rows = rows.where(F.col(body).isNotNull())
+        if not rows.take(1):
+            return done
+        schema = T.StructType([*rows.schema.fields, T.StructField(again, FOUND)])
+        for k, windows in enumerate(sets):
+            rows = rows.mapInArrow(_pass(windows, body, again, k == 0, False, rows.columns), schema)
+
+
 def _sets(benchmark: DataFrame, window: int, set_bytes: int) -> list[WindowSet]:
     """One set where the benchmark is below the bound, which is counted first; else one for each part of it."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null")
@@ -176,11 +222,13 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", fo
     windows are its runs of `window` words; an item of fewer words, but not none, is one window. A
     text word in any occurrence of a window is hit; hit_ranges are the maximal runs of hit words, in
     words; items are the ids whose windows occur, sorted as strings. With clean, `cleaned` is the
-    text without its hit runs (null where nothing was hit).
+    text without its hit runs, cut again until none is left (null where nothing was hit).
 
     Windows are looked up by hash and then compared word by word. The set is broadcast with the
     function, and its size is bounded: the benchmark is measured first, and one of more than
-    set_bytes is taken in parts, one pass over the rows for each, with no shuffle.
+    set_bytes is taken in parts, one pass over the rows for each, with no shuffle. With clean, the
+    parts' hits are cut together, and cut rows are passed again until no part hits: the texts don't
+    depend on the parts.
 
     Null and empty texts have no words. Null items and items with null texts are left out; an
     item_id that repeats counts once. Repeated rows stay. With an empty benchmark nothing is hit.
@@ -188,10 +236,10 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", fo
     """
     docs = docs.drop(found) if found in docs.columns else docs
     schema = T.StructType([*docs.schema.fields, T.StructField(found, FOUND)])
-    out = docs
-    for k, windows in enumerate(_sets(benchmark, window, set_bytes)):
-        out = out.mapInArrow(_pass(windows, text, found, k == 0, clean, out.columns), schema)
-    return out
+    out, sets = docs, _sets(benchmark, window, set_bytes)
+    for k, windows in enumerate(sets):
+        out = out.mapInArrow(_pass(windows, text, found, k == 0, clean and len(sets) == 1, out.columns), schema)
+    return _clean_in_rounds(out, sets, text, found) if clean and len(sets) > 1 else out
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, drop_share: float = 0.5) -> DataFrame:

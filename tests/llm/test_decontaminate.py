@@ -69,3 +69,21 @@ def test_many_texts_per_step(spark):
     got = {r.doc_id: tuple(r)[1:] for r in d.digest(docs, bench).collect()}
     assert all(got[i] == brute(t, [(5, bench.collect()[0].text), (6, "ten zz zz")]) for i, t in rows[:50])
     assert sum(g[1] for g in got.values()) == sum(brute(t, [(5, rows[0][1]), (6, "ten zz zz")])[1] for _, t in rows)
+
+
+def test_parts_of_a_large_benchmark_cut_the_same(spark, odd_docs):
+    w = [f"w{k}" for k in range(40)]
+    line = lambda *parts: " ".join(" ".join(w[a:b]) for a, b in parts)
+    # Overlapping items, and a window that is there only when another item's is cut.
+    items = [(1, line((1, 11))), (2, line((5, 15))), (3, line((20, 30))), (4, line((16, 20), (30, 36)))]
+    texts = [line((0, 16)), "Say: " + line((16, 36)) + " end.", line((0, 40)), line((5, 15), (1, 11)), "nothing here", line((20, 25), (1, 15), (25, 30))]
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").union(odd_docs.select("doc_id", "text"))
+    bench = spark.createDataFrame(items + [(k + 10, b) for k, (_, b) in enumerate(ITEMS) if b], "item_id long, text string")
+    whole = d.scan_benchmark(docs, bench, clean=True)
+    want = sorted(map(str, whole.collect()))
+    for size in (30, 60, 90, 200):
+        parts = d.scan_benchmark(docs, bench, clean=True, set_bytes=size)
+        assert parts.columns == whole.columns and sorted(map(str, parts.collect())) == want
+    got = {r.doc_id: r.found.cleaned for r in whole.where("text like '%w%'").collect()}
+    assert got[100] == "w0  w15" and got[101] == "Say:  end." and not got[105].split()
+    assert d._sets(bench, 10, 30)[1:] and d.digest(parts.select("doc_id", d.F.coalesce("found.cleaned", "text").alias("text")), bench).where("contaminated").count() == 0
