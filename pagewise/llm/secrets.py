@@ -19,8 +19,6 @@ from .common import text_steps
 KINDS = ("assign", "access", "hex", "guess")
 #: Decimal digits of the guesses from which a value counts as a secret.
 LEAST_COST = 14.0
-#: Characters of a value whose cost is computed segment by segment; each further one costs as brute force.
-LONGEST_VALUE = 128
 
 # The patterns of the base findings and the fewest characters of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -59,23 +57,34 @@ def _per_character(c: str) -> float:
     return _LOG(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
 
 
-def segment_costs(value: str) -> list[list[tuple[int, float, str]]]:
-    """For each start, the (end, cost, kind) of the segments that a guesser would try."""
-    n, low = len(value), value.lower()
-    if len(low) != n:
+def _readings(value: str) -> tuple[str, str]:
+    """The value in lower case, and that with letters for the signs that stand for them."""
+    low = value.lower()
+    if len(low) != len(value):
         low = value
-    plain = low.translate(_LEET)
-    out: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
+    return low, low.translate(_LEET)
+
+
+def _short_segments(value: str, low: str, plain: str, i: int) -> list[tuple[int, float, str]]:
+    """The (end, cost, kind) of the words and dates that start at i."""
+    n, out = len(value), []
+    for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
+        for read, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
+            if rank := RANKS.get(read):
+                own = value[i:j]
+                case = 0.0 if own == own.lower() else 0.3 if own == own.upper() or own[1:] == own[1:].lower() else 1.0
+                out.append((j, _LOG(rank) + extra + case, "word"))
+                break
+    for m in {_DATE.match(value, i, k) for k in range(min(n, i + 10), i + 3, -1)} - {None}:
+        out.append((m.end(), _LOG(366 * 120) + (0.6 if re.search(r"\D", m[0]) else 0) if m.end() - i > 4 else _LOG(120), "date"))
+    return out
+
+
+def segment_costs(value: str) -> list[list[tuple[int, float, str]]]:
+    """For each start, the (end, cost, kind) of the segments that a guesser would try: all of them, so their number grows with the square of a repeat."""
+    n, (low, plain) = len(value), _readings(value)
+    out = [_short_segments(value, low, plain, i) for i in range(n)]
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for read, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
-                if rank := RANKS.get(read):
-                    own = value[i:j]
-                    case = 0.0 if own == own.lower() else 0.3 if own == own.upper() or own[1:] == own[1:].lower() else 1.0
-                    out[i].append((j, _LOG(rank) + extra + case, "word"))
-                    break
-        for m in {_DATE.match(value, i, k) for k in range(min(n, i + 10), i + 3, -1)} - {None}:
-            out[i].append((m.end(), _LOG(366 * 120) + (0.6 if re.search(r"\D", m[0]) else 0) if m.end() - i > 4 else _LOG(120), "date"))
         for width in (1, 2, 3, 4):
             k = i + width
             while value[k : k + width] == value[i : i + width] and len(value[k : k + width]) == width:
@@ -91,24 +100,71 @@ def segment_costs(value: str) -> list[list[tuple[int, float, str]]]:
     return out
 
 
+class _Starts:
+    """Open starts of a repeat or walk, and the least cost of a segment from one of them.
+
+    A segment's cost grows with the logarithm of its length, so a start that an earlier one undercuts
+    never leads again, and neither does one behind which a start of no higher cost lies: both are dropped.
+    """
+
+    def __init__(self) -> None:
+        self.open: list[tuple[int, float]] = []
+
+    def add(self, start: int, cost: float) -> None:
+        while self.open and self.open[-1][1] >= cost:
+            self.open.pop()
+        self.open.append((start, cost))
+
+    def least(self, end: int, width: int) -> float:
+        best, at = math.inf, -1
+        for k, (start, cost) in enumerate(self.open):
+            if (c := cost + _LOG((end - start) // width)) <= best:
+                if c < best:
+                    best, at = c, k
+        del self.open[at + 1 :]
+        return best
+
+
 def guess_cost(value: str) -> float:
     """The decimal digits of the guesses for the cheapest way to cut value into words, dates, repeats, keyboard walks and brute-force spans.
 
-    Each segment beyond the first doubles the guesses, for its place and kind.
+    Each segment beyond the first doubles the guesses, for its place and kind. The whole value counts, however long.
     """
-    head, rest = value[:LONGEST_VALUE], value[LONGEST_VALUE:]
-    n, segments = len(head), segment_costs(head)
-    # by[i]: the least cost of head[:i] with a closed last segment; raw[i]: with an open brute-force span.
-    closed, raw = [math.inf] * (n + 1), [math.inf] * (n + 1)
+    n, low, plain = len(value), *_readings(value)
+    each = [_per_character(c) for c in value]
+    # closed[i]: the least cost of value[:i] with a closed last segment; raw[i]: with an open brute-force span; now[i]: of both, with the next segment's place.
+    closed, raw, now = [math.inf] * (n + 1), [math.inf] * (n + 1), [math.inf] * (n + 1)
     closed[0] = 0.0
-    for i in range(n):
-        now = min(closed[i], raw[i])
+    repeats = {w: [_Starts() for _ in range(w)] for w in (1, 2, 3, 4)}
+    since = dict.fromkeys(repeats, 0)
+    walks, walk_since, way = _Starts(), 0, 0
+    for i in range(n + 1):
+        for width, by in repeats.items():
+            # Text from since[width] to i repeats after width characters; a start counts from its least length on.
+            if i > width and value[i - 1] != value[i - 1 - width]:
+                since[width], repeats[width] = i - width, [_Starts() for _ in range(width)]
+                by = repeats[width]
+            start = i - max(3, 2 * width)
+            if start >= since[width]:
+                own = by[i % width]
+                own.add(start, now[start] + sum(each[start : start + width]))
+                closed[i] = min(closed[i], own.least(i, width))
+        if i > 1:
+            step = _NEXT.get((low[i - 2], low[i - 1]), 0)
+            if step != way:
+                walks, walk_since, way = _Starts(), i - 2 if step else i - 1, step
+            elif not step:
+                walk_since = i - 1
+            if i - 3 >= walk_since:
+                walks.add(i - 3, now[i - 3] + _LOG(len(KEY_ROWS) * 12 * 2))
+                closed[i] = min(closed[i], walks.least(i, 1))
         join = 0.0 if i == 0 else _LOG(2)
-        each = _per_character(head[i])
-        raw[i + 1] = min(raw[i + 1], raw[i] + each, closed[i] + join + each)
-        for end, cost, _ in segments[i]:
-            closed[end] = min(closed[end], now + join + cost)
-    return max(0.0, min(closed[n], raw[n])) + sum(map(_per_character, rest))
+        now[i] = min(closed[i], raw[i]) + join
+        if i < n:
+            raw[i + 1] = min(raw[i] + each[i], closed[i] + join + each[i])
+            for end, cost, _ in _short_segments(value, low, plain, i):
+                closed[end] = min(closed[end], now[i] + cost)
+    return max(0.0, min(closed[n], raw[n]))
 
 
 def find_secrets(text: str, hex_runs: bool = True) -> list[tuple[str, int, int, float | None]]:

@@ -90,3 +90,25 @@ def test_costs_order_values_as_a_guesser_would():
     assert cost("password") < cost("password1999") < cost("passw0rd1999x") < cost("k9$Vx!2pQz#71m")
     assert cost("aaaaaaaaaa") < 3 and cost("qwertyuiop") < 5 and cost("") == 0
     assert cost("x" * 50_000 + string.ascii_letters) > 100
+
+
+def test_long_values_are_cut_over_their_whole_length():
+    def slow(value):
+        n, segments = len(value), s.segment_costs(value)
+        closed, raw = [0.0] + [float("inf")] * n, [float("inf")] * (n + 1)
+        for i in range(n):
+            join = s._LOG(2) if i else 0.0
+            raw[i + 1] = min(raw[i], closed[i] + join) + s._per_character(value[i])
+            for end, cost, _ in segments[i]:
+                closed[end] = min(closed[end], min(closed[i], raw[i]) + join + cost)
+        return min(closed[n], raw[n])
+
+    rnd = random.Random(5)
+    pieces = ["password", "2020-01-02", "a" * 9, "ab" * 7, "xyz" * 5, "0123456789" * 3, "qwerty", "poiu", "K", "7", "$", "é", "aaab", "1212", "abcabd", "P@ss"]
+    for k in range(150):
+        value = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 45)))
+        assert s.guess_cost(value) == pytest.approx(slow(value)), value
+    for value in ("x" * 200, "*" * 140, "-=" * 150, "password" * 20, "0123456789" * 40, "".join(rnd.choice("ab") for _ in range(300))):
+        assert s.guess_cost(value) == pytest.approx(slow(value)), value
+    assert s.guess_cost("x" * 200) < 4 and s.guess_cost("x" * 20_000) < 6
+    assert s.find_secrets("pwd: " + "x" * 140) == [] and s.find_secrets("login: " + "*" * 300) == []
