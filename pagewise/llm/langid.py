@@ -18,8 +18,10 @@ from .common import id_crc, spare_name
 DEPTH = 400
 #: Training documents of each language, about: documents are drawn by a hash of their id.
 PER_LANGUAGE = 800
-#: Characters of a training document at most; longer ones take no part in the fit.
+#: Characters of a training document at most; of longer ones the middle is taken.
 MAX_TRAIN_CHARS = 50_000
+#: Languages that are learned at most, the most frequent ones.
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Characters that are counted at once; a longer text is counted piece by piece.
 PIECE = 1 << 20
@@ -126,15 +128,18 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars:
     """About per_language texts of each language among rows with crc32(doc_id as text) % 5 <> 0, at most twice as many.
 
     A hash of doc_id decides, against a share that comes from the language's exact count, so rare
-    languages are drawn in full. Null texts, null languages and texts over max_chars take no part.
+    languages are drawn in full. Of a text over max_chars its middle max_chars are taken. Null texts
+    and null languages take no part, nor do languages beyond the MAX_LANGUAGES most frequent.
     """
-    fit = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (id_crc(F.col("doc_id")) % 5 != 0))
-    counts = {r.lang: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    fit = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_crc(F.col("doc_id")) % 5 != 0))
+    counts = {r.lang: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
-    drawn = fit.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40)) & (F.length("text") <= max_chars))
-    return [(r.text, r.lang) for r in drawn.select("text", "lang").limit(2 * per_language * len(counts)).collect()]
+    drawn = fit.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+    size = F.length("text")
+    window = F.when(size > max_chars, F.substring("text", F.floor((size - max_chars) / 2).cast("int") + 1, F.lit(max_chars))).otherwise(F.col("text"))
+    return [(r.text, r.lang) for r in drawn.select(window.alias("text"), "lang").limit(2 * per_language * len(counts)).collect()]
 
 
 #: What identification gives for each text.

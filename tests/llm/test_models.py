@@ -171,3 +171,13 @@ def test_machine_by_brute_force_and_learns_a_pair():
         logit = m.bias + sum(m.w[own]) + sum(m.v[i] @ m.v[j] for x, i in enumerate(own) for j in own[x + 1 :])
         assert abs(1 / (1 + np.exp(-logit)) - got[k]) < 1e-9
     assert np.mean((got >= 0.5) == [y for _, y in rows[:50]]) > 0.95
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    long = [(i, "les petites maisons sont rouges et grises " * 1500, "fr") for i in range(10)]
+    short = [(100 + i, "the little houses are red and grey over there", "en") for i in range(10)]
+    docs = spark.createDataFrame([*long, *short, (200, None, "de")], "doc_id long, text string, lang string")
+    rows = langid.training_rows(docs)
+    assert {x for _, x in rows} == {"fr", "en"} and max(len(t) for t, _ in rows) == langid.MAX_TRAIN_CHARS
+    profiles = langid.learn(docs)
+    assert profiles.predict(long[0][1])[0] == "fr" and profiles.predict(short[0][1])[0] == "en"
