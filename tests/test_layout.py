@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pagewise.operators import layout as L
 from pagewise.operators import tables as t
@@ -16,9 +18,47 @@ def test_lines_group_by_gap_and_keep_columns_apart(spark):
     left = [(f"l{k}", 0.9, 0.0, 12.0 * k, 100.0, 12.0 * k + 10) for k in range(3)]
     right = [(f"r{k}", 0.9, 150.0, 12.0 * k + 1, 250.0, 12.0 * k + 11) for k in range(3)]
     mixed = [x for pair in zip(left, right) for x in pair]
-    assert groups(spark, *mixed) == ["l0\nl1\nl2", "r0\nr1\nr2"]
+    assert groups(spark, *mixed) == ["l0 l1 l2", "r0 r1 r2"]
     assert groups(spark, ("a", 1.0, 0.0, 0.0, 50.0, 10.0), ("b", 1.0, 0.0, 30.0, 50.0, 40.0)) == ["a", "b"]
-    assert groups(spark, ("b", 1.0, 0.0, 11.0, 50.0, 21.0), ("a", 1.0, 0.0, 0.0, 50.0, 10.0)) == ["a\nb"]
+    assert groups(spark, ("b", 1.0, 0.0, 11.0, 50.0, 21.0), ("a", 1.0, 0.0, 0.0, 50.0, 10.0)) == ["a b"]
+
+
+def test_lines_are_stripped_and_blank_ones_left_out(spark):
+    got = L.group_lines(lines(spark, ("  one ", 1.0, 0.0, 0.0, 50.0, 10.0), (" \t", 1.0, 0.0, 10.0, 50.0, 20.0), ("two\u00a0", 0.5, 0.0, 20.0, 50.0, 30.0), ("", 0.1, 200.0, 0.0, 250.0, 10.0))).orderBy("place").collect()
+    assert [(r.text, r.n_lines) for r in got] == [("one two", 3), ("", 1)] and got[1].confidence == 0.0
+
+
+def test_groups_by_a_slow_reading_of_the_rules(spark):
+    """Every line against the last lines of all paragraphs, over random pages."""
+    rnd = random.Random(4)
+    rows = []
+    for page in range(40):
+        for k in range(rnd.randrange(1, 60)):
+            x, y = rnd.choice([0, 100, 200]) + rnd.random() * 30, rnd.random() * 200
+            rows.append((f"d{page % 7}", page, k, f"w{k}", rnd.random(), x, y, x + rnd.choice([0, 30, 90]), y + rnd.choice([0, 8, 10, 11])))
+    df = spark.createDataFrame(rows, "document_id string, page int, position int, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.document_id, r.page, r.place): (r.text, r.n_lines) for r in L.group_lines(df.repartition(5)).collect()}
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = sorted((r for r in rows if r[:2] == key), key=lambda r: (round(r[6]), r[5], r[2]))
+        high = sorted(r[8] - r[6] for r in own if r[8] > r[6])
+        h = ((high[(len(high) - 1) // 2] + high[len(high) // 2]) / 2) if high else 1.0
+        told = []
+        for r in own:
+            ranked = []
+            for i, p in enumerate(told):
+                _, _, _, _, _, x0, y0, x1, y1 = p[-1]
+                width = min(x1 - x0, r[7] - r[5])
+                share = (min(x1, r[7]) - max(x0, r[5])) / width if width > 0 else 0
+                if -h <= r[6] - y1 <= 0.6 * h and share >= 0.15:
+                    ranked.append((r[6] - y1, i))
+            if ranked:
+                told[min(ranked)[1]].append(r)
+            else:
+                told.append([r])
+        told.sort(key=lambda p: (round(min(r[6] for r in p)), min(r[5] for r in p)))
+        want |= {(*key, k + 1): (" ".join(r[3] for r in p), len(p)) for k, p in enumerate(told)}
+    assert got == want and max(n for _, n in want.values()) > 3
 
 
 def test_paragraph_confidence_is_weighted_by_length(spark):
@@ -93,6 +133,10 @@ def test_boxes_are_found_by_text(spark):
         ("", (0, 0), 0),
         (None, (0, 0), 0),
         ("<tr><th>a</th><td>b</td></tr>", (1, 2), 0),
+        ("<tr><td>a</td>", (1, 1), 0),
+        ("<tr><td>lost<td>b</td></tr><tr>", (1, 1), 0),
+        ("<tr><td rowspan=3>a</td></tr><tr><td colspan=2>b</td></tr>", (3, 3), 0),
+        ("<thead><tr><td>a</td></tr><tr><th>b</th></tr></thead><tr><th>c</th></tr><tr><td>d</td><th>e</th></tr>", (4, 2), 3),
     ],
 )
 def test_grids(html, size, headers):
@@ -107,6 +151,11 @@ def test_grid_texts_and_covered_places():
     assert at[0, 0]["text"] == "a&b c" and at[1, 2]["text"] == "y"
     assert all((at[p]["covered_row"], at[p]["covered_col"]) == (0, 0) for p in ((0, 1), (1, 0), (1, 1)))
     assert t.grid_of("<tr><td rowspan=99999999 colspan=99999999>a</td></tr>")[0][0]["text"] == "a"
+    huge, _ = t.grid_of("<tr><td rowspan=3000>a</td><td colspan=3000>b</td></tr><tr><td>c</td></tr>")
+    assert [(s["row"], s["col"], s["row_span"], s["col_span"], s["text"]) for s in huge] == [(0, 0, 3000, 1, "a"), (0, 1, 1, 3000, "b"), (1, 1, 1, 1, "c")]
+    both, _ = t.grid_of("<tr><td>a</td><td rowspan=3>b</td></tr><tr><td colspan=2>c</td></tr><tr><td>d</td></tr>")
+    at = {(s["row"], s["col"]): s for s in both}
+    assert (at[1, 1]["covered_row"], at[1, 1]["covered_col"]) == (1, 0) and (at[2, 1]["covered_row"], at[2, 1]["covered_col"]) == (0, 1)
 
 
 def test_what_is_made_of_grids(spark):
