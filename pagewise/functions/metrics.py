@@ -31,7 +31,7 @@ def cer(expected: Column, actual: Column) -> Column:
 def wer(expected: Column, actual: Column) -> Column:
     """Edit distance over words. Each word becomes one private letter, its first place among the pair's distinct words, so the built-in distance counts words.
 
-    Texts of more than 60 000 distinct words would run out of letters; pages have far fewer.
+    There are letters for 1 048 576 distinct words: a pair with more has a table of 10**12 distances, which no page has.
     """
     x, y = tokens(collapse(F.coalesce(expected, F.lit("")))), tokens(collapse(F.coalesce(actual, F.lit(""))))
     codes = F.map_from_entries(F.transform(F.array_distinct(F.concat(x, y)), lambda w, i: F.struct(w, i)))
@@ -58,3 +58,9 @@ def score_documents(truth: DataFrame, pages: DataFrame, cells: DataFrame | None
     per = both.select("document", F.when(missing, 1.0).otherwise(cer(F.col("text"), F.col("got"))).alias("cer"), F.when(missing, 1.0).otherwise(wer(F.col("text"), F.col("got"))).alias("wer"))
     out = per.groupBy("document").agg(F.avg("cer").alias("cer"), F.avg("wer").alias("wer"))
     return out if cells is None else out.join(cells.groupBy("document").agg(F.avg("cell_accuracy").alias("cell_accuracy")), "document", "left")
+
+
+def corpus_summary(documents: DataFrame) -> DataFrame:
+    """One row for scored documents (cer, cell_accuracy, wall_ms, error): their number, mean cer and cell accuracy, and their wall seconds. Documents with an error count nowhere; nulls not in the means."""
+    good = documents.where("error is null")
+    return good.agg(F.count("*").alias("documents"), F.avg("cer").alias("mean_cer"), F.avg("cell_accuracy").alias("mean_cell_accuracy"), F.coalesce(F.sum("wall_ms") / 1000, F.lit(0.0)).alias("wall_seconds"))

@@ -53,3 +53,16 @@ def is_terminal(state: Column) -> Column:
 
 def by_state(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("state").agg(F.count("*").alias("n"))
+
+
+def get(jobs: DataFrame, job_id: str) -> DataFrame:
+    """The last state of one job; a row with error_kind not_found if there is none."""
+    own = latest_state(jobs.where(F.col("id") == job_id))
+    asked = jobs.sparkSession.createDataFrame([(job_id,)], "id string")
+    return asked.join(own.withColumn("_there", F.lit(True)), "id", "left").withColumn("error_kind", F.when(F.col("_there").isNull(), "not_found").otherwise(F.col("error_kind"))).drop("_there")
+
+
+def latest_state(jobs: DataFrame) -> DataFrame:
+    """Of a log with a row for each change, the last row of each job: terminal states stand behind others of the same time."""
+    w = Window.partitionBy("id").orderBy(F.desc("created_at"), F.desc(is_terminal(F.col("state")).cast("int")))
+    return jobs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -55,6 +55,7 @@ def _extract(sources: DataFrame, wanted: DataFrame, engine: Engine, cache: PageC
     hits = None
     if cache is not None and cache.path is not None:
         hits = materialise(cache.hits(wanted, engine.name, engine.version))
+        cache.count(wanted, hits)
         missing = R.without(wanted, hits, ON)
     else:
         missing = wanted.select(*ON)

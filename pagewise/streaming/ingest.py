@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,14 +10,10 @@ from ..operators.render import render_documents
 from ..plans.engines import Engine
 from ..plans.router import process
 from ..schemas import FILES
+from ..sources.batches import exists
 from ..sources.store import from_files
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def ingest_batch(files: DataFrame, batch_id: int, out: str, engines: list[Engine], **settings) -> None:
     """Process the files of one batch that out lacks. A batch that runs again overwrites its own folder alone, so nothing is doubled."""
     spark = files.sparkSession
@@ -43,9 +37,3 @@ def job_counts(jobs: DataFrame, every: str = "1 hour", late: str = "10 minutes",
     """Jobs by window and state; an extension beyond batch parity. Works on streams and tables alike."""
     marked = jobs.withWatermark(at, late) if jobs.isStreaming else jobs
     return marked.groupBy(F.window(at, every).alias("w"), state).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), state, "n")
-
-
-def wait(query: StreamingQuery, then: Callable[[], None] | None = None) -> None:
-    query.awaitTermination()
-    if then:
-        then()

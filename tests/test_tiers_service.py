@@ -4,6 +4,7 @@ import pytest
 from pagewise.config import Config
 from pagewise.functions.quality import score_pages
 from pagewise.operators import checks, tiers
+from pagewise.operators.cache import PageCache
 from pagewise.plans.engines import ImageEngine, NativeEngine, StubOcr
 from pagewise.plans.router import process
 from pagewise.schemas import SOURCES
@@ -80,6 +81,39 @@ def test_a_library(spark, tmp_path):
     assert lib.compact(str(tmp_path / "new")).table("documents").count() == 0
 
 
+def test_a_document_that_is_sent_again_is_there_again(spark, tmp_path):
+    from test_office import docx
+
+    cache = PageCache(spark, str(tmp_path / "cache"))
+    lib = Library(spark, str(tmp_path / "lib"), [NativeEngine()], cache=cache)
+    src = spark.createDataFrame([("d" * 64, "d.docx", None, "d" * 64, 1, docx()), ("e" * 64, "e.md", None, "e" * 64, 1, b"# E")], SOURCES)
+    jobs = {r.document_id[0]: r for r in lib.submit(src).collect()}
+    assert {r.state for r in jobs.values()} == {"done"} and cache.rows().count() == 2
+    assert {(r.document_id[0], r.asset_id) for r in cache.asset_rows().collect()} == {("d", "a0"), ("e", None)}
+    assert lib.job(jobs["d"].id).state == "done" and lib.job("job_none") is None and lib.jobs().count() == 2
+    gone = src.where("filename = 'd.docx'").select("document_id")
+    lib.delete(gone)
+    lib.delete(gone)
+    assert lib.view("d" * 64) is None and lib.asset("d" * 64, "a0") is None and lib.view("e" * 64) == "# E\n"
+    assert {r.document_id[0] for r in cache.rows().collect()} == {"e"} and cache.drop(gone) == 0
+    assert {r.state for r in lib.submit(src).collect()} == {"done"}
+    assert lib.view("d" * 64).startswith("# A title") and lib.asset("d" * 64, "a0") == ("image/png", b"png")
+    assert lib.table("documents").count() == 2 and lib.table("blobs", "sha256").count() == 2 and cache.rows().count() == 2
+    listing = lib.listing()
+    assert listing["cache"] == {"hits": 0, "misses": 3, "pages": 2} and listing["engines"] == [{"name": "native", "version": "1"}]
+    assert lib.compact(str(tmp_path / "new")).view("d" * 64).startswith("# A title")
+
+
+def test_a_full_cache_starts_anew(spark, tmp_path):
+    cache = PageCache(spark, str(tmp_path / "cache"), limit=2)
+    src = lambda c: spark.createDataFrame([(c * 64, f"{c}.md", None, c * 64, 1, b"# X")], SOURCES)
+    kept = []
+    for c in "abc":
+        process(src(c), [NativeEngine()], cache=cache)
+        kept.append({r.document_id[0] for r in cache.rows().collect()})
+    assert kept == [{"a"}, {"a", "b"}, {"c"}]
+
+
 def test_assets_of_a_library(spark, tmp_path):
     from test_office import docx
 
