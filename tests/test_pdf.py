@@ -6,6 +6,7 @@ from pagewise.plans.engines import ImageEngine, NativeEngine, PdfEngine, StubOcr
 from pagewise.plans.router import process
 from pagewise.schemas import SOURCES
 from pagewise.sources import pdf
+from pagewise.sources.pdf_layout import page_nodes, with_widths
 
 
 def make(*pages, compress=False, extra=b"", trailer=b"", fonts=b"/F1 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"):
@@ -88,3 +89,45 @@ def test_a_mixed_file_costs_one_ocr_page(spark):
     assert {(r.document_id[0], tuple(r.pages)) for r in result.runs.where("engine = 'ocr-stub'").collect()} == {("a", (2,)), ("d", (1,))}
     assert checks.page_violations(result.pages).count() == checks.document_violations(result.documents, result.pages).count() == 0
     assert {r.document_id[0]: r.metadata.custom["pdf_type"] for r in result.documents.collect()} == {"a": "mixed", "d": "image_based"}
+
+
+def show(*rows, size=10):
+    """Lines of a content stream: (x, y, text)."""
+    return b" ".join(b"BT /F1 %d Tf %d %d Td (%s) Tj ET" % (size, x, y, t.encode("latin-1")) for x, y, t in rows)
+
+
+def blocks_of(*pages):
+    row = {"content": make(*pages), "numbers": None}
+    return list(PdfEngine().read(row))
+
+
+def test_a_table_a_list_and_prose():
+    body = show((72, 700, "Some words before the table."), *((x, 660 - 14 * k, f"{c}{k}") for k in range(3) for x, c in ((72, "name "), (250, "qty "), (400, "price "))), (72, 590, "* first point"), (84, 578, "goes on"), (72, 566, "* second point"), (72, 530, "1. one"), (72, 518, "2. two"), (72, 480, "2024. That was a year."))
+    page = blocks_of(body)[0]
+    top = [(b["type"], b.get("text")) for b in page["blocks"] if b["slot"] == "page"]
+    assert top == [("paragraph", "Some words before the table."), ("table", None), ("list", None), ("list", None), ("paragraph", "2024. That was a year.")]
+    assert page["reasons"] == ["has_tables"] and len(page["cells"]) == 9
+    cells = {(b["row"], b["col"]): b for b in page["blocks"] if b["slot"] == "cell"}
+    assert cells[2, 1]["text"] == "qty 2" and cells[2, 1]["bbox"]["x"] == 250
+    assert [(b["text"], b["item_idx"]) for b in page["blocks"] if b["slot"] == "item"] == [("first point goes on", 0), ("second point", 1), ("one", 0), ("two", 1)]
+
+
+def test_columns_are_told_and_read_one_after_the_other():
+    left, right = [f"words of the left column, line {k}" for k in range(5)], [f"words of the right column, line {k}" for k in range(5)]
+    page = blocks_of(show((72, 740, "A heading line over both of them"), size=18) + b" " + show(*((72, 700 - 12 * k, t) for k, t in enumerate(left)), *((330, 700 - 12 * k, t) for k, t in enumerate(right))))[0]
+    assert page["reasons"] == ["multi_column"] and [b["type"] for b in page["blocks"]] == ["heading", "paragraph", "paragraph"]
+    assert [b["text"] for b in page["blocks"]][1:] == [" ".join(left), " ".join(right)]
+
+
+def test_widths_that_the_font_does_not_tell_are_estimated():
+    items = [pdf.Item("a", 7.0, 10.2, 0.0, 12.0), pdf.Item("b", 0.0, 10.0, 5.0, 12.0), pdf.Item("ccc", 20.0, 10.0, 0.0, 12.0)]
+    got, estimated = with_widths(items)
+    assert estimated and {i.text: i.width for i in got} == {"a": 18.0 / 3, "b": 5.0, "ccc": 18.0}
+    assert page_nodes(items)[1] == ["estimated_glyph_widths"] and page_nodes([]) == ([], [])
+    assert with_widths(items[1:2]) == (items[1:2], False)
+
+
+def test_other_files_never_reach_the_pdf_reader(spark):
+    src = spark.createDataFrame([("a" * 64, "a.pdf", None, "a" * 64, 1, b"text"), ("b" * 64, "b", None, "b" * 64, 1, make(TEXT)), ("c" * 64, "c.pdf", None, "c" * 64, 0, None)], SOURCES)
+    seen = PdfEngine().inspect(src)
+    assert [r.document_id[0] for r in seen.collect()] == ["b"]
