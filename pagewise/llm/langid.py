@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc, spare_name
+from .common import id_crc, spare_name, windows
 
 #: n-grams in a profile, of a language and of a document.
 DEPTH = 400
-#: Training documents of each language, about: documents are drawn by a hash of their id.
+#: Training documents of each language, about: documents are drawn by a hash of their id and text.
 PER_LANGUAGE = 800
-#: Characters of a training document at most; of longer ones the middle is taken.
+#: Characters of a training document at most; longer ones are read in windows over their whole length.
 MAX_TRAIN_CHARS = 50_000
 #: Languages that are learned at most, the most frequent ones.
 MAX_LANGUAGES = 1000
@@ -125,21 +125,22 @@ class Profiles:
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str, str]]:
-    """About per_language texts of each language among rows with crc32(doc_id as text) % 5 <> 0, at most twice as many.
+    """About per_language texts of each language among rows with crc32(doc_id as text) % 5 <> 0, at most twice as many on average.
 
-    A hash of doc_id decides, against a share that comes from the language's exact count, so rare
-    languages are drawn in full. Of a text over max_chars its middle max_chars are taken. Null texts
-    and null languages take no part, nor do languages beyond the MAX_LANGUAGES most frequent.
+    A hash of doc_id and text decides, against a share that comes from the language's exact count of
+    rows, so rare languages are drawn in full; equal texts of a language come once. A text over max_chars
+    is read in windows over its whole length. Null texts and null languages take no part, nor do
+    languages beyond the MAX_LANGUAGES most frequent.
     """
     fit = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_crc(F.col("doc_id")) % 5 != 0))
     counts = {r.lang: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
-    drawn = fit.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
-    size = F.length("text")
-    window = F.when(size > max_chars, F.substring("text", F.floor((size - max_chars) / 2).cast("int") + 1, F.lit(max_chars))).otherwise(F.col("text"))
-    return [(r.text, r.lang) for r in drawn.select(window.alias("text"), "lang").limit(2 * per_language * len(counts)).collect()]
+    drawn = fit.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+    # A key of very many drawn rows is the same text again and again: partial aggregates make it one row.
+    each = drawn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first(windows(F.col("text"), max_chars)).alias("text"))
+    return [(r.text, r.lang) for r in each.orderBy("h", "lang").limit(2 * per_language * len(counts)).select("text", "lang").collect()]
 
 
 #: What identification gives for each text.

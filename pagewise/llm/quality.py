@@ -17,9 +17,10 @@ from .common import id_crc, model_rows, text_steps
 CHUNK, HOP = 512, 504
 #: Width and step of a filter in bytes, size of a byte's vector, filters, hidden units.
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 8, 32, 16
-#: Labelled texts and chunks of a fit at most, and characters of such a text.
-TRAIN_TEXTS, TRAIN_CHUNKS, MAX_TRAIN_CHARS = 4000, 9000, 50_000
-EPOCHS, BATCH, RATE = 10, 64, 0.004
+#: Labelled texts of a fit at most, and characters up to which each of them is whole however large the others are.
+TRAIN_TEXTS, WHOLE_CHARS = 4000, 8192
+#: Times that a fit sees each chunk, chunks of a step, the rate, and steps at least and at most (the most sees each chunk of the largest sample at least once).
+EPOCHS, BATCH, RATE, STEPS = 3, 64, 0.004, (400, 4500)
 THRESHOLD = 0.3
 
 
@@ -121,29 +122,29 @@ class ConvNet:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int]], seed: int = 11) -> ConvNet:
-        """rows: text and label. Chunks learn their text's label, at most TRAIN_CHUNKS of them, drawn with a fixed seed; Adam."""
+        """rows: text and label. Every chunk of every text learns its text's label, a text's chunks together counting as much as another's; Adam.
+
+        Without rows, or with one label alone, there is nothing to learn: every text gets the prior.
+        """
         net, r = cls.fresh(seed), np.random.default_rng(seed)
-        if not rows:
-            return net
-        raw = [t.encode() for t, _ in rows]
         labels = np.array([y for _, y in rows], np.float32)
         net.prior = float((labels.sum() + 1) / (len(labels) + 2))
+        if not rows or labels.min() == labels.max():
+            net.out[:] = 0
+            net.out_bias[:] = np.log(net.prior / (1 - net.prior))
+            return net
+        raw = [t.encode() for t, _ in rows]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         counts = chunk_counts(offsets)
-        # Few chunks of each text, so that long ones don't rule; then their bytes alone.
-        per_text = max(1, TRAIN_CHUNKS // len(rows))
-        picks = [(i, k) for i, n in enumerate(counts) for k in (range(n) if n <= per_text else sorted(r.choice(n, per_text, replace=False)))]
-        chunks = np.zeros((len(picks), CHUNK), np.uint8)
-        for row, (i, k) in enumerate(picks):
-            part = np.frombuffer(raw[i][k * HOP : k * HOP + CHUNK], np.uint8)
-            chunks[row, : len(part)] = part
-        y = labels[[i for i, _ in picks]]
-        weight = (1 / np.bincount([i for i, _ in picks], minlength=len(rows)))[[i for i, _ in picks]].astype(np.float32)
+        owner = np.repeat(np.arange(len(rows)), counts)
+        chunks = chunked(np.frombuffer(b"".join(raw), np.uint8), offsets, 0, len(owner))
+        y = labels[owner]
+        weight = (1 / counts[owner]).astype(np.float32)
         weight /= weight.mean()
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-        step, steps = 0, max(400, EPOCHS * len(picks) // BATCH)
+        step, steps = 0, min(max(STEPS[0], EPOCHS * len(owner) // BATCH), STEPS[1])
         while step < steps:
-            order = r.permutation(len(picks))
+            order = r.permutation(len(owner))
             for i in range(0, len(order), BATCH):
                 step += 1
                 rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
@@ -159,14 +160,16 @@ class ConvNet:
 
 def learn(docs: DataFrame, labels: DataFrame) -> ConvNet:
     """A net from labels.quality of rows with crc32(doc_id as text) % 5 <> 0; TRAIN_TEXTS of them at most."""
-    return ConvNet.fit(model_rows(docs.sparkSession, docs, labels, "quality", 5, 0, TRAIN_TEXTS, MAX_TRAIN_CHARS))
+    return ConvNet.fit(model_rows(docs.sparkSession, docs, labels, "quality", 5, 0, TRAIN_TEXTS, WHOLE_CHARS))
 
 
 def score_quality(docs: DataFrame, net: ConvNet, text: str = "text", score: str = "score") -> DataFrame:
     """Every row of docs with a score from 0 to 1, higher where label 1 is likelier.
 
     The whole text counts, whatever its length. Null and empty texts get the share of label 1 among
-    the texts of the fit. Repeated rows stay; a column named like the score is replaced.
+    the texts of the fit, and so does every text where nothing, or one label alone, was labelled (0.5
+    without any). A chunk that the text doesn't fill ends in zero bytes, which are pooled with it.
+    Repeated rows stay; a column named like the score is replaced.
     """
     docs = docs.drop(score)
     names = docs.columns

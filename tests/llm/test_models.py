@@ -173,6 +173,58 @@ def test_machine_by_brute_force_and_learns_a_pair():
     assert np.mean((got >= 0.5) == [y for _, y in rows[:50]]) > 0.95
 
 
+def test_machine_learns_a_pair_of_words_that_tell_nothing_alone():
+    r, rows = np.random.default_rng(3), []
+    for _ in range(6000):
+        a, b = (r.random(2) < 0.5).tolist()
+        rows.append((f"{'insult ' * a}{'people ' * b}pad{r.integers(5)} w{r.integers(40)} w{r.integers(40)}", int(a == b)))
+    m = toxicity.FactorizationMachine.fit(rows[:5000])
+    raw = [t.encode() for t, _ in rows[5000:]]
+    got = m.scores(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert np.mean((got >= 0.5) == [y for _, y in rows[5000:]]) > 0.97
+
+
+def test_quality_without_labels_is_the_prior(spark, odd_docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.digest(odd_docs, none).collect()} == {0.5}
+    ones = spark.createDataFrame([(i, 1) for i in range(1, 12)], "doc_id long, quality int")
+    scores = {round(r.score, 6) for r in quality.digest(odd_docs, ones).collect()}
+    assert len(scores) == 1 and 0.5 < scores.pop() < 1
+
+
+def test_every_chunk_of_a_labelled_text_is_learned():
+    """A mark that stands far behind the start of a long text decides."""
+    r = np.random.default_rng(5)
+    noise = lambda n: "".join(r.choice(list("abcdefgh "), n))
+    rows = [(noise(400) if k % 2 else noise(3000) + " ZZZZZZZZ " * 60 + noise(10), k % 2) for k in range(200)]
+    net = quality.ConvNet.fit(rows)
+    raw = [t.encode() for t, _ in rows]
+    chunks = quality.chunk_counts(np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    assert chunks[0] > 6 and net.logits(quality.chunked(np.frombuffer((" ZZZZZZZZ " * 60).encode(), np.uint8), np.array([0, 600]), 0, 1))[0] < net.logits(quality.chunked(np.frombuffer(noise(400).encode(), np.uint8), np.array([0, 400]), 0, 1))[0]
+
+
+def test_long_texts_are_read_in_windows_only_where_the_sample_is_full(spark):
+    from pagewise.llm import common
+    from pyspark.sql import functions as F
+
+    assert common.fair_length([5, 100, 7, 50], 80) == 34 and common.fair_length([5, 7], 80) == 7 and common.fair_length([], 9) == 0
+    text = "".join(chr(0x4E00 + k) for k in range(5000))
+    got = spark.createDataFrame([(text,), ("short",)], "t string").select(common.windows(F.col("t"), 500)).collect()
+    assert len(got[0][0]) <= 500 and got[0][0].startswith(text[:10]) and got[0][0].endswith(text[-10:]) and len(got[0][0].split(" ")) == 21 and got[1][0] == "short"
+    docs = spark.createDataFrame([(i, text * (1 + 3 * (i == 1)) + str(i)) for i in range(8)] + [(2, text + "2")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    n = sum(crc(i) % 5 != 0 for i in range(8))
+    assert sorted(len(t) for t, _ in quality.model_rows(spark, docs, labels, "quality", 5, 0, 100, 100))[0] == 5001
+    small = quality.model_rows(spark, docs, labels, "quality", 5, 0, 100, 100, 3000)
+    assert len(small) == n and sum(len(t) for t, _ in small) <= 3000
+
+
+def test_text_ids_work(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"words {i} " * (1 + i % 3)) for i in range(40)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, i % 2) for i in range(40)], "doc_id string, quality int, toxic int")
+    assert quality.digest(docs, labels).count() == toxicity.digest(docs, labels).count() == 40
+
+
 def test_languages_of_long_texts_alone_are_learned(spark):
     long = [(i, "les petites maisons sont rouges et grises " * 1500, "fr") for i in range(10)]
     short = [(100 + i, "the little houses are red and grey over there", "en") for i in range(10)]
