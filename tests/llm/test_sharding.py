@@ -1,3 +1,5 @@
+import bisect
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,4 +52,40 @@ def test_whole_rows_are_kept(odd_docs):
 
 def test_one_key_with_a_third_of_the_rows(spark):
     docs = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'hot', cast(id as string)) as text")
-    check(docs)
+    sizes, largest = check(docs)
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * largest + 0.002 * sum(sizes.values()) / 8
+
+
+def test_hot_rows_that_differ_in_other_columns(spark):
+    docs = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "if(id % 2 = 0, 'hot', cast(id as string)) as text", "id % 5 as nth", "map('a', id % 3) as m")
+    got = s.shard_documents(docs)
+    n = Counter(r.shard for r in got.collect())
+    assert sum(n.values()) == 4000 and len(n) == 8
+    assert Counter((r.doc_id, r.text, r.nth, r.m["a"]) for r in got.collect()) == Counter((r.doc_id, r.text, r.nth, r.m["a"]) for r in docs.collect())
+    sizes, largest = check(docs.select("doc_id", "text"))
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * largest + 0.002 * sum(sizes.values()) / 8
+
+
+def test_shards_do_not_follow_the_settings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    a = sorted(s.digest(docs).select("doc_id", "shard", "slot").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert sorted(s.digest(docs.repartition(3)).select("doc_id", "shard", "slot").collect()) == a
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_intervals_by_brute_force(spark):
+    rnd = random.Random(3)
+    keys = [rnd.getrandbits(64) - (1 << 63) for _ in range(2000)] + [-(1 << 63), (1 << 63) - 1, 0, -1]
+    for n in (0, 1, 2, 7, 500):
+        bounds = sorted([rnd.getrandbits(64) - (1 << 63) for _ in range(n - n // 4)] + keys[: n // 4])
+        got = s.with_interval(spark.createDataFrame([(k,) for k in keys], "key long"), "key", bounds, "i").collect()
+        assert len(got) == len(keys) and all(r.i == bisect.bisect_right(bounds, r.key) for r in got)
+
+
+def test_plan_has_no_python(odd_docs):
+    plan = s.digest(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
