@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, spare_name
 
@@ -22,16 +23,37 @@ def _lines(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """h1, h2 (128 bits of the key), doc, pos: one row for each line whose key is long enough, ranged by hash.
+    """h1, h2 (128 bits of the key), doc, pos, part: one row for each line whose key is long enough, ranged by hash and sorted.
 
     Rows are range-partitioned by hash, document and position, so a key that very many documents
-    share is dealt over many partitions, and sorted so that a key's first occurrence comes first.
+    share is dealt over many partitions, and sorted so that a key's first occurrence comes first, in its
+    partition and over all of them. part is the partition.
     """
     lines = docs.where(F.col(doc_id).isNotNull() & (F.length(text) >= min_chars)).select(F.col(doc_id).alias("doc"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
     keys = lines.select("doc", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     # Written first: finding the ranges reads these rows twice, and texts should be split once.
     hashed = cut(keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "pos"))
-    return hashed.repartitionByRange("h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
+    ranged = hashed.repartitionByRange("h1", "h2", "doc", "pos").sortWithinPartitions("h1", "h2", "doc", "pos")
+    return cut(ranged.withColumn("part", F.spark_partition_id()))
+
+
+def first_documents(seen: DataFrame) -> DataFrame:
+    """seen with holder, the document of its key's first occurrence.
+
+    In a partition it streams from the sorted rows of a key: the first one's document goes on to the
+    others, and no more than that is held. A key can go on from one partition to the next only as the
+    last of one and the first of the other, so a table of each partition's first and last key, one row
+    for each, tells the keys whose first occurrence is in an earlier partition.
+    """
+    run = Window.partitionBy("part", "h1", "h2").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    streamed = seen.withColumn("own", F.first("doc").over(run))
+    ends = seen.groupBy("part").agg(F.min(F.struct("h1", "h2", "doc")).alias("first"), F.max(F.struct("h1", "h2")).alias("last"))
+    # The first document of a partition's last key: only those two keys matter, and in a partition of one key they are the same.
+    heads = seen.join(F.broadcast(ends.select("part", F.col("last.h1").alias("h1"), F.col("last.h2").alias("h2"))), ["part", "h1", "h2"], "left_semi").groupBy("part", "h1", "h2").agg(F.min("doc").alias("doc"))
+    both = heads.select("part", "h1", "h2", "doc").union(ends.select("part", "first.h1", "first.h2", "first.doc")).groupBy("part", "h1", "h2").agg(F.min("doc").alias("doc"))
+    earlier = Window.partitionBy("h1", "h2").orderBy("part")
+    carried = both.withColumn("holder", F.first("doc").over(earlier)).where("holder < doc").drop("doc")
+    return streamed.join(F.broadcast(carried), ["part", "h1", "h2"], "left").select("doc", "pos", F.coalesce("holder", "own").alias("holder"))
 
 
 def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -39,18 +61,13 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     dropped is array<struct<first, end>>, the maximal runs of line positions that go, in order. A key
     of at least min_chars code points that two or more documents hold stays in the smallest doc_id
-    alone, with all its lines there.
+    alone, with all its lines there: that is the document of its first occurrence, and what stands in
+    any other document goes.
 
-    The sorted occurrences give one head for each key and partition (a partial aggregate, no sort or
-    state beyond it); heads meet by key for the first and last document, keys of one document go, and
-    the rest join their occurrences, where a key with very many is a skewed join that Spark splits.
     Only hashes, ids and positions move, never text. Rows with a null doc_id neither hold nor lose
     lines; rows that repeat a doc_id count as one document and share a bitmap, by position.
     """
-    seen = cut(occurrences(docs, doc_id, text, min_chars))
-    # Heads are written, so that the join has an exchange on either side: only then can Spark split a key of very many lines.
-    heads = cut(seen.groupBy("h1", "h2").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where("holder < other").drop("other"))
-    lost = seen.join(heads, ["h1", "h2"]).where("doc <> holder").select("doc", "pos")
+    lost = first_documents(occurrences(docs, doc_id, text, min_chars)).where("doc <> holder").select("doc", "pos")
     # A run is what stays equal in pos minus the rank: gathered positions, sorted, cut where a gap is.
     runs = lost.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("gone")).select(
         F.col("doc").alias(doc_id),

@@ -52,6 +52,21 @@ def test_white_space_and_long_line_runs(spark):
     assert sorted(map(tuple, ld.digest(docs).collect()), key=str) == brute(rows)
 
 
+def test_a_hot_line_reaches_over_many_partitions(spark):
+    rows = [(i, f"a line that all of them have\nmine alone {i % 700}\nthe second of the common lines") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = ld.occurrences(docs, "doc_id", "text", 10)
+        assert seen.groupBy("h1", "h2").agg(ld.F.count_distinct("part").alias("n")).where("n > 2").count() == 2
+        assert sorted(map(tuple, ld.digest(docs).collect()), key=str) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_extra_columns_stay(odd_docs):
     got = ld.dedup_lines(odd_docs)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "found", "n_lines", "n_dropped", "kept"] and got.count() == 13
