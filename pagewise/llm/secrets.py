@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,9 @@ from .common import text_steps
 
 #: Kinds of findings, in the order that ranks them where they start together. `guess` is the one that costs add.
 KINDS = ("assign", "access", "hex", "guess")
-#: Decimal digits of the guesses from which a value counts as a secret.
-LEAST_COST = 14.0
+#: Decimal digits of the guesses from which a value counts as a secret, by its kinds of characters (small letters, capitals inside it, digits, signs inside it).
+#: Ordinary words are long but of one kind, passwords of people are short and of several.
+LEAST_COST = {0: 24.0, 1: 24.0, 2: 14.0, 3: 10.0, 4: 10.0}
 
 # The patterns of the base findings and the fewest characters of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -54,7 +56,19 @@ _LOG = math.log10
 
 
 def _per_character(c: str) -> float:
-    return _LOG(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100)
+    """Of as many characters as a guesser has tried by then: digits, small letters, capitals, signs, others."""
+    return _LOG(10 if c.isdigit() else (26 if c.islower() else 52) if c.isascii() and c.isalpha() else 95 if c.isascii() else 200)
+
+
+def character_kinds(value: str) -> int:
+    """How many of small letters, capitals, digits and signs the value has. A capital at its start, capitals alone and signs at its ends are how words are written."""
+    core = value.strip(".,:;!?()[]{}<>*_-=/\\|&~`'\"")
+    capitals = not core.isupper() and any(c.isupper() for c in core[1:])
+    return any(c.islower() or not capitals and c.isalpha() for c in core) + capitals + any(c.isdigit() for c in core) + any(not c.isalnum() for c in core)
+
+
+def is_secret(value: str, cost: float) -> bool:
+    return cost >= LEAST_COST[character_kinds(value)]
 
 
 def _readings(value: str) -> tuple[str, str]:
@@ -171,7 +185,7 @@ def find_secrets(text: str, hex_runs: bool = True) -> list[tuple[str, int, int,
     """(kind, start, end, guess cost) in code points, by start and then kind; the cost is null but for assign and guess.
 
     Base kinds are whole matches, leftmost and non-overlapping within a kind. A guess is the value of a
-    credential context of LEAST_COST or more that no assign or access finding covers.
+    credential context that is hard to guess for its kind (is_secret) and that no assign or access finding covers.
     """
     out: list[tuple[str, int, int, float | None]] = []
     low = text.lower()
@@ -184,11 +198,13 @@ def find_secrets(text: str, hex_runs: bool = True) -> list[tuple[str, int, int,
     if hex_runs:
         out += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text) if len(m[0]) >= LEAST_HEX]
     if (":" in text or "=" in text) and any(w in low for w in CONTEXT_WORDS):
-        base = [(s, e) for k, s, e, _ in out if k != "hex"]
+        # Base spans of a kind don't overlap, so the last one that starts before a value is the only one of its kind that may cover it.
+        base = [sorted((s, e) for k, s, e, _ in out if k == kind) for kind in ("assign", "access")]
         for m in CONTEXT.finditer(text):
             group = 1 if m[1] is not None else 2 if m[2] is not None else 3
             start, end = m.span(group)
-            if not any(s <= start and end <= e for s, e in base) and (cost := guess_cost(m[group])) >= LEAST_COST:
+            before = (own[k - 1] for own in base if (k := bisect_right(own, (start, len(text)))))
+            if not any(end <= e for _, e in before) and is_secret(m[group], cost := guess_cost(m[group])):
                 out.append(("guess", start, end, round(cost, 3)))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
