@@ -20,6 +20,8 @@ from .common import tokenizer_path
 VOCABULARY = "word_bpe_49k.json"
 #: Stretches without white space, and half of the words, whose encoding a task remembers; beyond that it starts anew.
 REMEMBERED = 150_000
+#: Characters of the longest one that is remembered: so a full table has a bound in bytes.
+REMEMBERED_CHARS = 64
 #: Bytes of text in one batch of results.
 OUT_BYTES = 2 << 20
 
@@ -33,7 +35,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Answers by key; a new key is answered when it is asked for, and a full table starts anew."""
+    """Answers by key; a new key is answered when it is asked for, a long one each time, and a full table starts anew."""
 
     def __init__(self, answer, most: int):
         super().__init__()
@@ -41,6 +43,8 @@ class _Known(dict):
 
     def __missing__(self, key: str):
         got = self.answer(key)
+        if len(key) > REMEMBERED_CHARS:
+            return got
         if len(self) >= self.most:
             self.clear()
         self[key] = got
@@ -148,7 +152,7 @@ class Bpe:
     def pieces(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """The answers for each stretch and special token of a text, in order."""
         known = self.known
-        if "<|" not in text or not self.cut:
+        if not self.cut or not any(mark in text for mark in self.special):
             return [known[w] for w in self.stretches(text)]
         out: list[tuple[tuple[int, ...], str]] = []
         for part in self.cut.split(text):
