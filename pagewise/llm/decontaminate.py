@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -182,7 +182,7 @@ def _cut_hits(body: str, again: str, names: list[str]):
     return run
 
 
-def _clean_in_rounds(rows: DataFrame, sets: list[WindowSet], text: str, found: str) -> DataFrame:
+def _clean_in_rounds(rows: DataFrame, sets: list[Callable[[], WindowSet]], text: str, found: str) -> DataFrame:
     """rows with `cleaned`: all sets' hits are cut at once, and every set scans the cut texts again, until none hits.
 
     A text is what it would be with one set of all windows. Each round is written to the checkpoint
@@ -202,17 +202,28 @@ def _clean_in_rounds(rows: DataFrame, sets: list[WindowSet], text: str, found: s
         if not rows.take(1):
             return done
         schema = T.StructType([*rows.schema.fields, T.StructField(again, FOUND)])
-        for k, windows in enumerate(sets):
-            rows = rows.mapInArrow(_pass(windows, body, again, k == 0, False, rows.columns), schema)
+        for k, build in enumerate(sets):
+            rows = cut(rows.mapInArrow(_pass(build(), body, again, k == 0, False, rows.columns), schema))
 
 
-def _sets(benchmark: DataFrame, window: int, set_bytes: int) -> list[WindowSet]:
-    """One set where the benchmark is below the bound, which is counted first; else one for each part of it."""
+def _pieces(items: DataFrame, window: int, set_bytes: int) -> DataFrame:
+    """items (item, body) with those of more than set_bytes cut into pieces of words that overlap by all but one word of a window: together they have the item's windows."""
+    words = F.regexp_extract_all(F.translate("body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    step = max(1, set_bytes // 16)
+    large = items.where(F.octet_length("body") > set_bytes).select("item", words.alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(step))
+    cut_up = large.select("item", "w", F.explode(starts).alias("at")).select("item", F.array_join(F.slice("w", F.col("at") + 1, step + window - 1), " ").alias("body"))
+    return items.where(F.octet_length("body") <= set_bytes).union(cut_up)
+
+
+def _sets(benchmark: DataFrame, window: int, set_bytes: int) -> list[Callable[[], WindowSet]]:
+    """What builds the set of each part of the benchmark: one part where it is below the bound, which is counted first. A part's rows come to the driver when its set is built."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where("item is not null and body is not null")
     total = items.agg(F.sum(F.octet_length("body"))).collect()[0][0] or 0
     parts = -(-total // set_bytes) or 1
+    items = items if parts == 1 else _pieces(items, window, set_bytes)
     part = F.pmod(F.xxhash64("item", "body"), F.lit(parts))
-    return [WindowSet.of([(r.item, r.body) for r in (items if parts == 1 else items.where(part == k)).collect()], window) for k in range(parts)]
+    return [lambda own=items if parts == 1 else items.where(part == k): WindowSet.of([(r.item, r.body) for r in own.collect()], window) for k in range(parts)]
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", found: str = "found", window: int = WINDOW, clean: bool = False, set_bytes: int = SET_BYTES) -> DataFrame:
@@ -226,9 +237,10 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", fo
 
     Windows are looked up by hash and then compared word by word. The set is broadcast with the
     function, and its size is bounded: the benchmark is measured first, and one of more than
-    set_bytes is taken in parts, one pass over the rows for each, with no shuffle. With clean, the
-    parts' hits are cut together, and cut rows are passed again until no part hits: the texts don't
-    depend on the parts.
+    set_bytes is taken in parts, one job over the rows for each, with no shuffle: its result is written
+    to the checkpoint folder, and its set is gone before the next one is built. An item of more than
+    set_bytes is cut into overlapping pieces. With clean, the parts' hits are cut together, and cut rows
+    are passed again until no part hits: the texts don't depend on the parts.
 
     Null and empty texts have no words. Null items and items with null texts are left out; an
     item_id that repeats counts once. Repeated rows stay. With an empty benchmark nothing is hit.
@@ -237,9 +249,11 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", fo
     docs = docs.drop(found) if found in docs.columns else docs
     schema = T.StructType([*docs.schema.fields, T.StructField(found, FOUND)])
     out, sets = docs, _sets(benchmark, window, set_bytes)
-    for k, windows in enumerate(sets):
-        out = out.mapInArrow(_pass(windows, text, found, k == 0, clean and len(sets) == 1, out.columns), schema)
-    return _clean_in_rounds(out, sets, text, found) if clean and len(sets) > 1 else out
+    if len(sets) == 1:
+        return out.mapInArrow(_pass(sets[0](), text, found, True, clean, out.columns), schema)
+    for k, build in enumerate(sets):  # a job for each: one set is alive at a time, on the driver and on the workers
+        out = cut(out.mapInArrow(_pass(build(), text, found, k == 0, False, out.columns), schema))
+    return _clean_in_rounds(out, sets, text, found) if clean else out
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, drop_share: float = 0.5) -> DataFrame:

@@ -87,3 +87,17 @@ def test_parts_of_a_large_benchmark_cut_the_same(spark, odd_docs):
     got = {r.doc_id: r.found.cleaned for r in whole.where("text like '%w%'").collect()}
     assert got[100] == "w0  w15" and got[101] == "Say:  end." and not got[105].split()
     assert d._sets(bench, 10, 30)[1:] and d.digest(parts.select("doc_id", d.F.coalesce("found.cleaned", "text").alias("text")), bench).where("contaminated").count() == 0
+
+
+def test_a_long_item_is_cut_into_pieces_that_have_its_windows(spark):
+    w = [f"W{k}" for k in range(400)]
+    items = [(1, "; ".join(w)), (2, "w1 w2 w3")]
+    docs = spark.createDataFrame([(1, " ".join(w[100:130])), (2, "x " + " ".join(w[5:14]) + " y"), (3, " ".join(w[390:])), (4, " ".join(w))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(d._sets(bench, 10, 200)) > 3 and d._pieces(bench.selectExpr("string(item_id) as item", "text as body"), 10, 200).count() > 10
+    got = d.scan_benchmark(docs, bench, set_bytes=200).collect()
+    want = {r.doc_id: brute(r.text, items) for r in docs.collect()}
+    for r in got:
+        hit = sum(x.end - x.first for x in r.found.hit_ranges)
+        assert (r.found.n_words, hit, len(r.found.items)) == want[r.doc_id][:3]
+    assert want[4][1] == 400 and want[2][1] == 0
