@@ -97,6 +97,11 @@ def _augmented(vectors: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([vectors, np.sqrt(np.maximum(0.0, top - np.einsum("nd,nd->n", vectors, vectors)))[:, None]])
 
 
+def _lifted(query: np.ndarray, top: float) -> np.ndarray:
+    """A query at the length of the longest vector: its order of inner products is the same, and the nearest by it are the nearest on the sphere."""
+    return np.append(query * np.sqrt(top / float(query @ query)), 0.0)
+
+
 def best_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the k largest inner products of each query over vectors with other ids, ties to the smaller id.
 
@@ -229,7 +234,7 @@ def _calibrate(nodes: DataFrame, forest: Forest, top: float, k: int) -> int:
     w = Window.partitionBy("q").orderBy(F.desc("s"), "id")
     rows = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "leaves").collect()
     total = len(forest.normals) << forest.levels
-    order = {q: {leaf: n for n, leaf in enumerate(forest.search(np.append(queries[q], 0.0), total))} for q in {r.q for r in rows}}
+    order = {q: {leaf: n for n, leaf in enumerate(forest.search(_lifted(queries[q], top), total))} for q in {r.q for r in rows}}
     need = sorted(min(order[r.q][leaf] for leaf in r.leaves) for r in rows)
     return need[min(len(need) - 1, int(np.ceil(TARGET_RECALL * len(need))) - 1)] + 1 if need else 1
 
@@ -268,7 +273,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
             leaves = forest.leaves(_augmented(vectors, top))
             row, leaf, role = [np.tile(np.arange(len(vectors)), len(leaves))], [leaves.reshape(-1)], [np.zeros(leaves.size, np.int64)]
             for i in np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False)):
-                opened = forest.search(np.append(vectors[i], 0.0), n_leaves)
+                opened = forest.search(_lifted(vectors[i], top), n_leaves)
                 row.append(np.full(len(opened), i))
                 leaf.append(np.array(opened))
                 role.append(np.ones(len(opened), np.int64))
