@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import LOWER, byte_class, find_words
+from .bytewords import LOWER, byte_class, find_words, mix
 from .common import cut, spare_name, text_steps
 
 SHINGLE = 3
@@ -115,28 +115,58 @@ def grid_masks(width: int, dealt: bool) -> list[int]:
     return [sum(bands[b] for b in kept) for kept in combinations(range(BANDS), BANDS - MAX_BITS)]
 
 
+def free_masks(mask: int) -> list[int]:
+    """The cell tables of the bits that mask leaves free: those in BANDS bands, all but MAX_BITS of them kept."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    bands = [sum(1 << b for b in free[k::BANDS]) for k in range(BANDS)]
+    return [sum(bands[b] for b in kept) for kept in combinations(range(BANDS), BANDS - MAX_BITS)]
+
+
 def _cells(fps: DataFrame, width: int, dealt: bool, carried: list[str]) -> DataFrame:
-    """fps once for each cell table: table, cell, fp and the carried columns."""
+    """fps once for each cell table: grid, cell, fp and the carried columns."""
     masks = F.array(*(F.lit(_signed(m)) for m in grid_masks(width, dealt)))
     tables = fps.select(*carried, "fp", _popcounts(F.col("fp"), width).alias("counts"), F.posexplode(masks).alias("grid", "mask"))
     return tables.select(*carried, "grid", F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "fp")
 
 
+#: Bits of a segment in the embedding that a cell is searched by.
+SEGMENT = 8
+
+
+def embed(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints as points: the popcount of each segment of SEGMENT bits, (n, 64 / SEGMENT)."""
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint8)).reshape(len(fps), -1).astype(np.int8)
+
+
+def differing(a, b) -> np.ndarray:
+    """Bits that differ. Unsigned: of a negative number, numpy counts the bits of its absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def within(points: np.ndarray, fps: np.ndarray, point: np.ndarray, fp, most: int) -> np.ndarray:
+    """Places of the fingerprints at `most` bits or fewer from fp. The Manhattan distance of the points is a lower bound, so it decides which are held against it bit by bit."""
+    at = np.flatnonzero(np.abs(points - point).sum(1) <= most)
+    return at[differing(fps[at], fp) <= most]
+
+
 def link_block(fps: np.ndarray) -> list[tuple[int, int]]:
     """Links (root, other) that span each component of distinct fingerprints at MAX_BITS or fewer.
 
     A search from each fingerprint over those not yet reached: never all pairs, and a crowded cell
     shrinks with each step.
     """
-    rest, out = fps, []
+    rest, points, out = fps, embed(fps), []
     while len(rest) > 1:
-        root, queue, rest = rest[0], [rest[0]], rest[1:]
+        root, queue, rest, points = rest[0], [(rest[0], points[0])], rest[1:], points[1:]
         while queue and len(rest):
-            near = np.bitwise_count(rest ^ queue.pop()) <= MAX_BITS
-            if near.any():
+            fp, point = queue.pop()
+            near = within(points, rest, point, fp, MAX_BITS)
+            if len(near):
                 out += [(int(root), int(x)) for x in rest[near]]
-                queue += list(rest[near])
-                rest = rest[~near]
+                queue += list(zip(rest[near], points[near]))
+                stay = np.ones(len(rest), bool)
+                stay[near] = False
+                rest, points = rest[stay], points[stay]
     return out
 
 
@@ -153,7 +183,9 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(cuts)
         # Cells of two, by far the most, at once.
         twos = cuts[:upto][sizes[:upto] == 2]
-        near = twos[np.bitwise_count(fps[twos] ^ fps[twos + 1]) <= MAX_BITS]
+        points = embed(fps) if len(twos) else np.zeros((0, 1), np.int8)
+        twos = twos[np.abs(points[twos] - points[twos + 1]).sum(1) <= MAX_BITS] if len(twos) else twos
+        near = twos[differing(fps[twos], fps[twos + 1]) <= MAX_BITS]
         out.update(zip(fps[near].tolist(), fps[near + 1].tolist()))
         for k in np.flatnonzero(sizes[:upto] > 2):
             out.update(link_block(fps[cuts[k] : cuts[k + 1]]))
@@ -178,26 +210,40 @@ def link_fingerprints(fps: DataFrame, full_cell: int = FULL_CELL) -> DataFrame:
 
     Cells of pairs of bits are counted first, with partial sums. Those of full_cell fingerprints or
     fewer are dealt out and searched; the fingerprints of fuller ones go on to a second grid, of
-    single bits in bands that cross the first ones, inside their cell. At most 23 bits are then free, so
-    no cell of the second grid can hold more than 2**23 fingerprints, 64 MB, however large the table is.
+    single bits in bands that cross the first ones, inside their cell, and from its full cells to a
+    third, of the bits that the second leaves free. At most 18 bits are free in a cell of the third grid,
+    so it has no more than 2**18 fingerprints, 2 MB, however large the table is.
     """
     first = cut(_cells(fps, 2, False, []))
-    crowded = first.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > full_cell)
-    crowded = cut(crowded.select("grid", "cell"))
-    found = []
-    roomy = first if not crowded.take(1) else first.join(crowded, ["grid", "cell"], "left_anti")
-    found.append(_search(roomy.select("grid", "cell", "fp"), ["grid", "cell"]))
-    if crowded.take(1):
-        inside = first.join(crowded, ["grid", "cell"]).select(F.col("grid").alias("grid0"), F.col("cell").alias("cell0"), "fp")
-        found.append(_search(_cells(inside, 1, True, ["grid0", "cell0"]).select("grid0", "cell0", "grid", "cell", "fp"), ["grid0", "cell0", "grid", "cell"]))
+    keys = ["grid", "cell"]
+    roomy, full = _parted(first, keys, full_cell)
+    found = [_search(roomy, keys)]
+    if full is not None:
+        second = cut(_cells(full.withColumnsRenamed({"grid": "grid0", "cell": "cell0"}), 1, True, ["grid0", "cell0"]))
+        keys = ["grid0", "cell0", "grid", "cell"]
+        roomy, full = _parted(second, keys, full_cell)
+        found.append(_search(roomy, keys))
+    if full is not None:
+        masks = F.array(*(F.array(*(F.lit(_signed(m)) for m in free_masks(mask))) for mask in grid_masks(1, True)))
+        inside = full.withColumnsRenamed({"grid": "grid1", "cell": "cell1"}).select("grid0", "cell0", "grid1", "cell1", "fp", F.posexplode(F.element_at(masks, F.col("grid1") + 1)).alias("grid", "mask"))
+        keys = ["grid0", "cell0", "grid1", "cell1", "grid", "cell"]
+        found.append(_search(inside.withColumn("cell", F.col("fp").bitwiseAND(F.col("mask"))), keys))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out.distinct()
 
 
+def _parted(cells: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of cells of `most` rows or fewer, and those of fuller ones (None without any)."""
+    full = cut(cells.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys))
+    if not full.take(1):
+        return cells, None
+    return cells.join(full, keys, "left_anti"), cells.join(full, keys)
+
+
 def _search(cells: DataFrame, keys: list[str]) -> DataFrame:
-    return cells.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_link_sorted, "a long, b long")
+    return cells.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(_link_sorted, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,14 +286,214 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(of_fp, "fp").select(F.col("id").alias(doc_id), F.col("fp").alias(fingerprint), component)
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the smallest doc_id.
+# Near duplicates by the similarity of their shingle sets. At 0.8, fingerprints of 64 bits differ in up to 17: no grid of
+# bits is both complete and selective there. So the cells are those of anchors, the least shingles of a text under several hashes,
+# which similar texts share; in a cell the embedding bounds and the fingerprints rule out; what stays is verified on the sets.
+
+#: Words of a shingle, and the least Jaccard similarity of near duplicates.
+WORDS, LEAST = 5, 0.8
+#: Bits that fingerprints of similar texts differ in at most (17 at 0.8, as measured; random ones differ in 32).
+SIMILAR_BITS = 20
+#: Anchors of a text: two texts at 0.8 share none of four with a chance of 0.2**4. As many more divide full cells.
+ANCHORS = 4
+#: Texts of a group that one task holds the shingles of, at most twice as many; larger groups are dealt out as pairs of blocks.
+GROUP_BLOCK = 4096
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; a text of fewer words, but not none, has one."""
+    found = find_words(data, offsets, WORD)
+    words, out = found.hashes(), []
+    step = np.uint64(0xD6E8FEB86659FD93)
+    for a, b in zip(found.ptr[:-1].tolist(), found.ptr[1:].tolist()):
+        m = min(shingle, b - a)
+        h = np.zeros(max(0, b - a - m + 1) if m else 0, np.uint64)
+        for j in range(m):
+            h = h * step + words[a + j : a + j + len(h)]
+        out.append(np.unique(mix(h)))
+    return out
+
+
+def sketch(own: np.ndarray) -> tuple[int, list[int]]:
+    """The SimHash of a set of shingles, and its anchors."""
+    if not len(own):
+        return 0, [0] * len(_ODD)
+    sums = np.zeros(64, np.int64)
+    for part in range(0, len(own), 65536):
+        sums += np.unpackbits(own[part : part + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    fp = int(np.packbits(2 * sums > len(own), bitorder="little").view("<u8")[0])
+    return fp, [int(mix(own * odd).min()) for odd in _ODD]
+
+
+def _fitting(n: np.ndarray, own: int, least: float) -> np.ndarray:
+    """Sets of n elements that can be as similar to one of `own`."""
+    return np.minimum(n, own) >= least * np.maximum(n, own) - 1e-9
+
+
+def _spanned(ids: np.ndarray, fps: np.ndarray, n: np.ndarray, least: float, verify=None) -> list[tuple[int, int]]:
+    """Links (id, id) that span the components of texts whose sizes and fingerprints fit and that verify(place, places) lets stand: a search from each over those not yet reached."""
+    points, rest, out = embed(fps), np.arange(len(ids)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            k = queue.pop()
+            near = rest[_fitting(n[rest], n[k], least)]
+            near = near[within(points[near], fps[near], points[k], fps[k], SIMILAR_BITS)]
+            if verify is not None and len(near):
+                near = near[verify(k, near)]
+            if len(near):
+                out += [(int(ids[k]), int(ids[x])) for x in near]
+                queue += near.tolist()
+                rest = rest[~np.isin(rest, near)]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of one key after the other, from batches that are sorted by their first `keys` columns."""
+    rest: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            part = pa.Table.from_batches([batch])
+            rest = part if rest is None else pa.concat_tables([rest, part]).combine_chunks()
+        if rest is None or not len(rest):
+            continue
+        columns = [rest.column(k).to_numpy() for k in range(keys)]
+        cuts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1, [len(rest)]])
+        upto = len(cuts) - (1 if batch is None else 2)
+        for a, b in zip(cuts[:upto], cuts[1 : upto + 1]):
+            if b - a > 1:
+                yield rest.slice(a, b - a)
+        rest = rest.slice(int(cuts[upto])).combine_chunks()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _link_cells(keys: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, keys):
+            out += _spanned(group["id"].to_numpy(), group["fp"].to_numpy(), group["n"].to_numpy(), least)
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    return run
+
+
+def candidate_links(nodes: DataFrame, least: float = LEAST, full_cell: int = FULL_CELL) -> DataFrame:
+    """Links (a, b) of nodes (id, fp, n, anchors) that share an anchor and whose sizes and fingerprints may be similar: a set that spans their components.
+
+    Cells of one node go by a count. Those of more than full_cell nodes, of passages that very many
+    texts share, are divided by the other anchors, inside their cell.
+    """
+    cells = cut(nodes.select("id", "fp", "n", F.slice("anchors", ANCHORS + 1, ANCHORS).alias("more"), F.posexplode(F.slice("anchors", 1, ANCHORS)).alias("grid", "cell")))
+    counted = cut(cells.groupBy("grid", "cell").agg(F.count("*").alias("size")).where("size > 1"))
+    keys = ["grid", "cell"]
+    shared = cells.join(counted.where(F.col("size") <= full_cell), keys)
+    search = lambda rows, by: rows.select(*by, "id", "fp", "n").repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(_link_cells(len(by), least), "a long, b long")
+    found = search(shared, keys)
+    full = counted.where(F.col("size") > full_cell)
+    if full.take(1):
+        inside = cells.join(full, keys).select(*keys, "id", "fp", "n", F.posexplode("more").alias("grid2", "cell2"))
+        found = found.union(search(inside, [*keys, "grid2", "cell2"]))
+    return found.distinct()
+
+
+def _verified(least: float):
+    """Rows of one group (root, two block numbers, id, n, fp, shingles), sorted, to the links that their shingle sets bear out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            n, lists = group["n"].to_numpy(), group["shingles"].combine_chunks()
+            values, offsets = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+
+            def similar(k: int, others: np.ndarray) -> np.ndarray:
+                own = values[offsets[k] : offsets[k + 1]]
+                out = np.empty(len(others), bool)
+                for i in range(0, len(others), 256):
+                    some = others[i : i + 256]
+                    rows = [values[offsets[x] : offsets[x + 1]] for x in some.tolist()]
+                    them = np.concatenate(rows)
+                    at = np.minimum(np.searchsorted(own, them), max(0, len(own) - 1))
+                    hit = np.concatenate([[0], np.cumsum(own[at] == them)]) if len(own) else np.zeros(len(them) + 1, int)
+                    ends = np.cumsum([len(r) for r in rows])
+                    both = hit[ends] - hit[np.concatenate([[0], ends[:-1]])]
+                    every = len(own) + n[some] - both
+                    out[i : i + 256] = both >= least * every - 1e-9
+                return out
+
+            yield _pairs(_spanned(group["id"].to_numpy(), group["fp"].to_numpy(), n, least, similar))
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = WORDS, least: float = LEAST, full_cell: int = FULL_CELL, block: int = GROUP_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(nodes, dropped) of docs (doc_id, text): a node for each different text, id its smallest doc_id; dropped: the nodes, by id, that similar texts link to a smaller one.
+
+    Words are as for the fingerprints. Texts are linked where the Jaccard similarity of their sets of
+    `shingle` words is `least` or more; a group is what links reach. Equal texts are one node. Texts
+    without words are alike. A link is found unless two texts share none of their anchors: of pairs at 0.8, 1.6 in
+    1000, fewer above.
+
+    Candidates are found on sketches alone (fingerprint, size and anchors); the texts of candidates are
+    read again for their shingles, each once and only in its candidate group, and every link is
+    verified on them. A group of more than `block` texts is dealt out as pairs of blocks.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body")).where("id is not null")
+    hashed = rows.select("id", "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("second"), "body").alias("h2"))
+    sketched = hashed.mapInArrow(_sketches(shingle), "id long, h1 long, h2 long, fp long, n long, anchors array<long>")
+    nodes = cut(sketched.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("anchors").alias("anchors")))
+    grouped = components(candidate_links(nodes, least, full_cell)).withColumnsRenamed({"node": "id"})
+    sized = cut(grouped.join(grouped.groupBy("root").agg(F.count("*").alias("size")), "root"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in text_steps(batch.column(4)):
+                own = shingle_sets(data, offsets, shingle)
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([len(x) for x in own], pa.int64()), pa.array([_signed(sketch(x)[0]) for x in own], pa.int64()), values], names=["root", "b1", "b2", "id", "n", "fp", "shingles"])
+
+    # The first of equal rows of an id: a node's text, once.
+    texts = rows.join(sized, "id").groupBy("id", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"), F.first("root").alias("root"), F.first("size").alias("size"))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = texts.select("root", "id", "body", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "body")
+    sets = dealt.mapInArrow(shingles, "root long, b1 int, b2 int, id long, n long, fp long, shingles array<long>")
+    by = ["root", "b1", "b2"]
+    links = sets.repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(_verified(least), "a long, b long")
+    dropped = components(links.distinct()).where("node <> root").select(F.col("node").alias("id")).distinct()
+    return nodes, dropped
+
+
+def _sketches(shingle: int):
+    """id, text and two hashes to id, hashes, fp, n and anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sketch(x) + (len(x),) for _, _, data, offsets in text_steps(batch.column(1)) for x in shingle_sets(data, offsets, shingle)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3), pa.array([_signed(f) for f, _, _ in got], pa.int64()), pa.array([n for _, _, n in got], pa.int64()), pa.array([[_signed(x) for x in a] for _, a, _ in got], pa.list_(pa.int64()))],
+                names=["id", "h1", "h2", "fp", "n", "anchors"],
+            )
+
+    return run
+
+
+def keep_representatives(docs: DataFrame, shingle: int = WORDS, least: float = LEAST) -> DataFrame:
+    """docs with one document of each group of near duplicates (similar_groups), the one with the smallest doc_id.
 
     Rows that repeat a doc_id are one document; rows with a null doc_id stay, as nothing names them.
     """
-    mark = spare_name(docs, "keeper")
-    groups = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct().withColumn(mark, F.lit(True))
-    named = docs.where("doc_id is not null").join(groups.select("doc_id"), "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    nodes, dropped = similar_groups(docs, shingle, least)
+    kept = nodes.select("id").distinct().join(dropped, "id", "left_anti").select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*(f"`{c}`" for c in docs.columns))
     return named.union(docs.where("doc_id is null"))
 
 

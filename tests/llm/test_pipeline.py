@@ -8,7 +8,7 @@ from pagewise.llm.common import tokenizer_path
 
 from test_decontaminate import WORD
 from test_linededup import key
-from test_simhash import brute_components, brute_fp
+from test_simhash import shingles_of
 
 
 def lower(text):
@@ -33,11 +33,22 @@ def brute_lines(rows):
 
 
 def brute_near(rows):
-    fps = {r["doc_id"]: (f - (1 << 64) if (f := brute_fp(r["text"])) >> 63 else f) for r in rows}
-    root, least = brute_components(fps.values()), {}
-    for i, f in fps.items():
-        least[root[f]] = min(i, least.get(root[f], i))
-    return [r for r in rows if least[root[fps[r["doc_id"]]]] == r["doc_id"]]
+    """Every pair of texts by the Jaccard similarity of their sets of five words."""
+    keep = [r["doc_id"] for r in rows if r["doc_id"] is None]
+    sets = [(r["doc_id"], shingles_of(r["text"])) for r in sorted((r for r in rows if r["doc_id"] is not None), key=lambda r: r["doc_id"])]
+    group = {i: i for i, _ in sets}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) >= 0.8 * len(a | b) and (x := find(i)) != (y := find(j)):
+                group[max(x, y)] = min(x, y)
+    keep += [i for i in group if find(i) == i]
+    return [r for r in rows if r["doc_id"] in keep]
 
 
 def brute_benchmark(rows, items):

@@ -18,6 +18,11 @@ def brute_fp(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def shingles_of(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
 def brute_components(fps):
     """The least fingerprint that links reach, for each."""
     fps = np.array(sorted(set(fps)), np.int64)
@@ -28,7 +33,7 @@ def brute_components(fps):
         root[int(f)], queue = int(f), [f]
         while queue:
             x = queue.pop()
-            for y in fps[np.bitwise_count(fps ^ x) <= 3]:
+            for y in fps[np.bitwise_count((fps ^ x).view(np.uint64)) <= 3]:
                 if int(y) not in root:
                     root[int(y)] = int(f)
                     queue.append(y)
@@ -102,6 +107,80 @@ def test_one_document_of_each_group_stays(spark, odd_docs):
     assert ids[1] == 1 and 5 not in ids and ids[11] == 2 and ids[None] == 1 and ids[2] == 1 and 3 not in ids and 4 not in ids
 
 
+def near_copies(seed=7, n=130):
+    """Groups of texts with some words replaced, texts that share a long passage, and copies."""
+    rnd, rows = random.Random(seed), []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 8)))
+    passage = [word() for _ in range(60)]
+    for _ in range(n):
+        base = [word() for _ in range(rnd.randrange(30, 300))]
+        for _ in range(rnd.choice([1, 1, 2, 5])):
+            own = [word() if rnd.random() < rnd.choice([0, 0.004, 0.01, 0.02, 0.04]) else w for w in base]
+            rows.append(" ".join(own))
+    rows += [" ".join([*passage, *(word() for _ in range(rnd.randrange(5, 90)))]) for _ in range(80)]
+    rows += rows[:5] + ["", " ", "one two", "one  TWO", "one two three"]
+    rnd.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize(("full_cell", "block"), [(1024, 4096), (3, 4)])
+def test_similar_texts_by_brute_force(spark, full_cell, block):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes, dropped = s.similar_groups(docs, full_cell=full_cell, block=block)
+    gone = {r.id for r in dropped.collect()}
+    kept = {r.id for r in nodes.collect()} - gone
+    sets, group = [(i, shingles_of(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    linked = 0
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if len(a & b) >= 0.8 * len(a | b):
+                linked += 1
+                if (x := find(i)) != (y := find(j)):
+                    group[max(x, y)] = min(x, y)
+    want = {i for i in group if find(i) == i}
+    assert want <= kept and linked > 100
+    # A pair at 0.8 shares no anchor with a chance of 0.0016; divided cells lose as many again.
+    assert len(kept - want) <= 1
+
+
+def test_manhattan_distance_bounds_the_bits():
+    r = np.random.default_rng(2)
+    fps = r.integers(-(1 << 63), 1 << 63, 3000)
+    points = s.embed(fps)
+    assert points.shape == (3000, 8) and all(int(p.sum()) == int(f & (2**64 - 1)).bit_count() for p, f in zip(points[:50], fps[:50].tolist()))
+    for k in range(20):
+        bits = np.array([((int(f) ^ int(fps[k])) & (2**64 - 1)).bit_count() for f in fps])
+        assert (np.abs(points - points[k]).sum(1) <= bits).all()
+        assert np.array_equal(s.within(points, fps, points[k], fps[k], 25), np.flatnonzero(bits <= 25))
+
+
+def test_links_over_the_highest_bit(spark):
+    """Fingerprints are signed longs: a difference in the highest bit and another must still be two bits."""
+    rnd = random.Random(21)
+    pairs = [(a, a ^ 1 << 63 ^ sum(1 << b for b in rnd.sample(range(63), rnd.randrange(3)))) for a in (rnd.getrandbits(64) for _ in range(40))]
+    signed = [f - (1 << 64) if f >> 63 else f for pair in pairs for f in pair]
+    got = {r.node: r.root for r in s.components(s.link_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    assert all(got[a] == got[b] == min(a, b) for a, b in zip(signed[::2], signed[1::2]))
+
+
+def test_every_pair_shares_a_cell_of_the_third_grid():
+    rnd = random.Random(10)
+    for _ in range(300):
+        a = rnd.getrandbits(64)
+        b = a ^ sum(1 << k for k in rnd.sample(range(64), 3))
+        for mask in s.grid_masks(1, True):
+            if a & mask == b & mask:
+                assert any(a & m == b & m for m in s.free_masks(mask))
+    assert all(bin(mask).count("1") + bin(m).count("1") >= 46 for mask in s.grid_masks(1, True) for m in s.free_masks(mask))
+
+
 def test_long_text_in_parts():
     rnd = random.Random(1)
     texts = [" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 4) for _ in range(n)) for n in (70000, 3, 9000, 0, 2, 8192, 1)]
