@@ -60,9 +60,12 @@ def _per_character(c: str) -> float:
     return _LOG(10 if c.isdigit() else (26 if c.islower() else 52) if c.isascii() and c.isalpha() else 95 if c.isascii() else 200)
 
 
+_ENDS = re.compile(r"\A[\W_]+|[\W_]+\Z")
+
+
 def character_kinds(value: str) -> int:
     """How many of small letters, capitals, digits and signs the value has. A capital at its start, capitals alone and signs at its ends are how words are written."""
-    core = value.strip(".,:;!?()[]{}<>*_-=/\\|&~`'\"")
+    core = _ENDS.sub("", value)
     capitals = not core.isupper() and any(c.isupper() for c in core[1:])
     return any(c.islower() or not capitals and c.isalpha() for c in core) + capitals + any(c.isdigit() for c in core) + any(not c.isalnum() for c in core)
 
