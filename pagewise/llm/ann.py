@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,17 +190,14 @@ def distinct_vectors(rows: DataFrame, vec_id: str, vector: str, is_query: Column
     """(nodes, members). nodes: h1, h2, vec, asked, ids: one row for each distinct vector, its k + 1 smallest ids
     and whether a query has it; members: h1, h2, vec_id of the queries.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, vectors not of the most
-    common length, and rows without an id take no part. No list grows with a vector's copies: more ids
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id
+    take no part. No list grows with a vector's copies: more ids
     than k + 1 of one vector can't be among k neighbours.
     """
     vec = F.col(vector).cast("array<double>")
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.where(F.col(vec_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), vec.alias("vec"), is_query.alias("asks"))
     good = good.where((F.size("vec") > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda x: x != 0))
-    lengths = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if lengths:
-        good = good.where(F.size("vec") == lengths[0].d)
     keyed = good.select("vec_id", "asks", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("second"), "vec").alias("h2"))
     members = keyed.groupBy("h1", "h2", "vec_id").agg(F.max("asks").alias("asks"))
     w = Window.partitionBy("h1", "h2").orderBy("vec_id")
@@ -246,22 +244,35 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     of one priority queue over all trees; how many is settled by the exact neighbours of CALIBRATION
     queries, so that recall holds at any size and for any data. Leaves are dealt out with their
     queries, in blocks of bounded size, and scored by matrix products; only the best k of a query and
-    task move on.
+    task move on. The trees are of the most common length; each other length is one leaf, numbered
+    below 0, that holds all its vectors and that all its queries open: there the search is exact.
     """
     nodes, members = distinct_vectors(rows, vec_id, vector, is_query, k)
-    n, top, dim = nodes.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("vec"))).collect()[0]
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    common = nodes.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "dim").limit(1).collect()
     out_type = "query_id long, rank int, vec_id long, score double"
-    if not n:
+    if not common:
         return rows.sparkSession.createDataFrame([], out_type)
+    dim, n, top = common[0]
+    treed = nodes.where(F.size("vec") == dim)
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(n / leaf_rows)))))
     bound = min(SAMPLE_ROWS, max(1, SAMPLE_NUMBERS // dim))
-    sample = _matrix(nodes.orderBy("h1", "h2").limit(bound).select("vec").toArrow()["vec"]) if levels else np.zeros((1, dim))
+    sample = _matrix(treed.orderBy("h1", "h2").limit(bound).select("vec").toArrow()["vec"]) if levels else np.zeros((1, dim))
     forest = Forest.fit(_augmented(sample, top), levels, trees)
-    n_leaves = _calibrate(nodes, forest, top, k)
+    n_leaves = _calibrate(treed, forest, top, k)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each node once for each tree; an asked one once more for each leaf that its search opens."""
         for batch in batches:
+            sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            other = np.flatnonzero(sizes != dim)
+            if len(other):
+                asks = other[batch.column(4).to_numpy(zero_copy_only=False)[other]]
+                at = np.concatenate([other, asks])
+                part = batch.select([0, 1, 2, 3]).take(pa.array(at))
+                role = np.repeat([0, 1], [len(other), len(asks)])
+                yield pa.RecordBatch.from_arrays([pa.array(-sizes[at].astype(np.int64)), pa.array(role), *part.columns], names=["leaf", "role", "h1", "h2", "id", "vec"])
+                batch = batch.take(pa.array(np.flatnonzero(sizes == dim)))
             vectors = _matrix(batch.column(3))
             if not len(vectors):
                 continue
@@ -280,7 +291,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     base = nodes.select("h1", "h2", F.col("ids")[0].alias("id"), "vec", "asked")
     keys = "leaf long, role long, h1 long, h2 long, id long"
     placed = base.mapInArrow(place, f"{keys}, vec array<double>")
-    # Rows of each leaf and role: a bounded table, as levels and trees are.
+    # Rows of each leaf and role: a bounded table, as levels, trees and lengths are.
     filled = {(r.leaf, r.role): r["count"] for r in base.mapInArrow(place, f"{keys}, vec array<double>").groupBy("leaf", "role").count().collect()}
     blocks = {key: -(-c // BLOCK_ROWS) for key, c in filled.items()}
     most = [max([b for (_, role), b in blocks.items() if role == r], default=1) for r in (0, 1)]

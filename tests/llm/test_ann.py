@@ -68,6 +68,24 @@ def test_odd_vectors_and_copies(spark):
     assert [i for i, _ in got[0]] == [i for i, _ in want[0]]
 
 
+def test_vectors_of_other_lengths_are_answered_among_their_own(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.standard_normal((4, 3, 7)[(i % 11 > 5) + (i % 11 > 8)])]) for i in range(400)] + [(1000, [1.0, 2.0])]
+    got = collect(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, leaf_rows=40))
+    hits = []
+    for size in (4, 3, 7):
+        own = [(i, v) for i, v in rows if len(v) == size]
+        want = brute([i for i, _ in own], [v for _, v in own])
+        assert {q for q in got if len(rows[q][1]) == size} == want.keys()
+        for q in want:
+            if size == 4:
+                hits.append(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20)
+            else:
+                assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+    assert np.mean(hits) >= 0.9 and 1000 not in got
+
+
 def test_few_and_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.digest(spark.createDataFrame([], schema)).count() == 0
