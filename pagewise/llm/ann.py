@@ -25,6 +25,8 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 4_000_000
 CALIBRATION, TARGET_RECALL = 100, 0.95
 #: Rows of a block of vectors or queries: a task holds one of each.
 BLOCK_ROWS = 2048
+#: Numbers that a vectorised step holds in one array, about.
+STEP_NUMBERS = 1 << 22
 
 
 @dataclass
@@ -67,24 +69,41 @@ class Forest:
             out.append((t << self.levels) + at)
         return np.array(out)
 
-    def search(self, query: np.ndarray, n_leaves: int) -> list[int]:
-        """The first n_leaves leaves in the order of one queue that all trees share.
+    def sides(self, vectors: np.ndarray) -> np.ndarray:
+        """How far each vector lies beyond each cut: (n, trees, 2**levels). Node `at` of level d has place 2**d + at; place 0 is empty."""
+        out = np.zeros((len(vectors), len(self.normals), 1 << self.levels))
+        for t, (normals, cuts) in enumerate(zip(self.normals, self.cuts)):
+            for d, (w, c) in enumerate(zip(normals, cuts)):
+                out[:, t, 1 << d : 2 << d] = vectors @ w.T - c
+        return out
+
+    def search(self, sides: np.ndarray, n_leaves: int) -> list[int]:
+        """The first n_leaves leaves in the order of one queue that all trees share, for a vector's row of sides().
 
         A node's priority is the sum of squared distances to the cuts that its path crosses to the far
         side; the root of each tree has none.
         """
-        heap = [(0.0, 0, t, 0) for t in range(len(self.normals))]
+        rows, leaf = sides.tolist(), 1 << self.levels
+        heap = [(0.0, 1, t) for t in range(len(rows))]
         out: list[int] = []
         while heap and len(out) < n_leaves:
-            far, d, t, at = heapq.heappop(heap)
-            while d < self.levels:
-                side = float(self.normals[t][d][at] @ query) - float(self.cuts[t][d][at])
-                near = int(side > 0)
-                heapq.heappush(heap, (far + side * side, d + 1, t, 2 * at + 1 - near))
-                d, at = d + 1, 2 * at + near
-            out.append((t << self.levels) + at)
+            far, node, t = heapq.heappop(heap)
+            row = rows[t]
+            while node < leaf:
+                side = row[node]
+                near = 2 * node + (side > 0)
+                heapq.heappush(heap, (far + side * side, near ^ 1, t))
+                node = near
+            out.append(t * leaf + node - leaf)
         return out
 
+    def searches(self, vectors: np.ndarray, n_leaves: int) -> Iterator[list[int]]:
+        """search() of each vector, with bounded room for their sides."""
+        step = max(1, STEP_NUMBERS // (len(self.normals) << self.levels))
+        for a in range(0, len(vectors), step):
+            for sides in self.sides(vectors[a : a + step]):
+                yield self.search(sides, n_leaves)
+
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -93,6 +112,19 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _packed(vectors: np.ndarray) -> pa.Array:
+    """Rows as their bytes: Spark moves these at once, and the numbers of an array one by one."""
+    width = vectors.shape[1] * 8
+    offsets = np.arange(len(vectors) + 1, dtype=np.int64) * width
+    return pa.Array.from_buffers(pa.large_binary(), len(vectors), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(vectors))]).cast(pa.binary())
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
 def _augmented(vectors: np.ndarray, top: float) -> np.ndarray:
     """One more number, so that all have the length of the longest: then the largest inner product is the nearest."""
     return np.hstack([vectors, np.sqrt(np.maximum(0.0, top - np.einsum("nd,nd->n", vectors, vectors)))[:, None]])
@@ -104,23 +136,25 @@ def best_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.n
     A matrix product selects, with room for its rounding; then each score is computed alone, so that
     the same pair has the same score wherever it is met.
     """
-    out_q, out_c, out_s = [], [], []
-    rough = queries @ vectors.T
-    for q in range(len(queries)):
-        row = rough[q]
-        if len(row) > k + 1:
-            least = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-            at = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, STEP_NUMBERS // max(1, vectors.size))
+    for a in range(0, len(queries), step):
+        rough = queries[a : a + step] @ vectors.T
+        if rough.shape[1] > k + 1:
+            least = np.partition(rough, rough.shape[1] - k - 1, axis=1)[:, [rough.shape[1] - k - 1]]
+            q, c = np.nonzero(rough >= least - 1e-9 * np.maximum(1.0, np.abs(least)))
         else:
-            at = np.arange(len(row))
-        at = at[ids[at] != own[q]]
-        score = (vectors[at] * queries[q]).sum(1)
-        order = np.lexsort((ids[at], -score))[:k]
-        out_q.append(np.full(len(order), q))
-        out_c.append(at[order])
-        out_s.append(score[order])
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)) if out_q else (empty, empty, empty.astype(float))
+            q, c = (x.reshape(-1) for x in np.indices(rough.shape))
+        q = q + a
+        others = ids[c] != own[q]
+        q, c = q[others], c[others]
+        score = (vectors[c] * queries[q]).sum(1)
+        order = np.lexsort((ids[c], -score, q))
+        q, c, score = q[order], c[order], score[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((q[best], c[best], score[best]))
+    q, c, score = (np.concatenate(x) for x in zip(*out))
+    return q, c, score
 
 
 @dataclass
@@ -164,7 +198,7 @@ class _BestOf:
         if not len(a) or not len(b):
             return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0),)
         ids = b["id"].to_numpy()
-        q, c, s = best_of(_matrix(a["vec"]), np.full(len(a), np.iinfo(np.int64).min), _matrix(b["vec"]), ids, self.k)
+        q, c, s = best_of(_unpacked(a["vec"]), np.full(len(a), np.iinfo(np.int64).min), _unpacked(b["vec"]), ids, self.k)
         pick = lambda t, name, at: t[name].to_numpy()[at]
         return pick(a, "h1", q), pick(a, "h2", q), pick(b, "h1", c), pick(b, "h2", c), ids[c], s
 
@@ -227,7 +261,7 @@ def _calibrate(nodes: DataFrame, forest: Forest, top: float, k: int) -> int:
     w = Window.partitionBy("q").orderBy(F.desc("s"), "id")
     rows = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "leaves").collect()
     total = len(forest.normals) << forest.levels
-    order = {q: {leaf: n for n, leaf in enumerate(forest.search(np.append(queries[q], 0.0), total))} for q in {r.q for r in rows}}
+    order = [{leaf: n for n, leaf in enumerate(x)} for x in forest.searches(np.pad(queries, ((0, 0), (0, 1))), total)]
     need = sorted(min(order[r.q][leaf] for leaf in r.leaves) for r in rows)
     return need[min(len(need) - 1, int(np.ceil(TARGET_RECALL * len(need))) - 1)] + 1 if need else 1
 
@@ -261,38 +295,42 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_i
     forest = Forest.fit(_augmented(sample, top), levels, trees)
     n_leaves = _calibrate(treed, forest, top, k)
 
+    def places(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Vectors of one length, and row, leaf and role of their places: each node once for each tree; an asked one once more for each leaf that its search opens."""
+        sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+        asked = batch.column(4).to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            vectors, asks = _matrix(batch.column(3).take(pa.array(at))), np.flatnonzero(asked[at])
+            if size == dim:
+                leaves = forest.leaves(_augmented(vectors, top))
+                opened = list(forest.searches(np.pad(vectors[asks], ((0, 0), (0, 1))), n_leaves))
+            else:
+                leaves, opened = np.full((1, len(at)), -int(size)), [[-int(size)]] * len(asks)
+            counts = [len(x) for x in opened]
+            row = np.concatenate([np.tile(np.arange(len(at)), len(leaves)), np.repeat(asks, counts)])
+            leaf = np.concatenate([leaves.reshape(-1), *(np.array(x, np.int64) for x in opened)])
+            yield vectors, at[row], leaf, np.repeat([0, 1], [leaves.size, sum(counts)])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each node once for each tree; an asked one once more for each leaf that its search opens."""
         for batch in batches:
-            sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
-            other = np.flatnonzero(sizes != dim)
-            if len(other):
-                asks = other[batch.column(4).to_numpy(zero_copy_only=False)[other]]
-                at = np.concatenate([other, asks])
-                part = batch.select([0, 1, 2, 3]).take(pa.array(at))
-                role = np.repeat([0, 1], [len(other), len(asks)])
-                yield pa.RecordBatch.from_arrays([pa.array(-sizes[at].astype(np.int64)), pa.array(role), *part.columns], names=["leaf", "role", "h1", "h2", "id", "vec"])
-                batch = batch.take(pa.array(np.flatnonzero(sizes == dim)))
-            vectors = _matrix(batch.column(3))
-            if not len(vectors):
-                continue
-            leaves = forest.leaves(_augmented(vectors, top))
-            row, leaf, role = [np.tile(np.arange(len(vectors)), len(leaves))], [leaves.reshape(-1)], [np.zeros(leaves.size, np.int64)]
-            for i in np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False)):
-                opened = forest.search(np.append(vectors[i], 0.0), n_leaves)
-                row.append(np.full(len(opened), i))
-                leaf.append(np.array(opened))
-                role.append(np.ones(len(opened), np.int64))
-            row_, leaf_, role_ = np.concatenate(row), np.concatenate(leaf), np.concatenate(role)
-            for a in range(0, len(row_), 4096):
-                part = pa.RecordBatch.from_arrays(batch.columns[:4], names=["h1", "h2", "id", "vec"]).take(pa.array(row_[a : a + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf_[a : a + 4096]), pa.array(role_[a : a + 4096]), *part.columns], names=["leaf", "role", "h1", "h2", "id", "vec"])
+            for vectors, row, leaf, role in places(batch):
+                at = np.searchsorted(np.unique(row), row)
+                for a in range(0, len(row), 4096):
+                    z = slice(a, a + 4096)
+                    part = batch.select([0, 1, 2]).take(pa.array(row[z]))
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf[z]), pa.array(role[z]), *part.columns, _packed(vectors[at[z]])], names=["leaf", "role", "h1", "h2", "id", "vec"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, leaf, role in places(batch):
+                keys, n = np.unique(np.stack([leaf, role]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(n)], names=["leaf", "role", "n"])
 
     base = nodes.select("h1", "h2", F.col("ids")[0].alias("id"), "vec", "asked")
-    keys = "leaf long, role long, h1 long, h2 long, id long"
-    placed = base.mapInArrow(place, f"{keys}, vec array<double>")
+    placed = base.mapInArrow(place, "leaf long, role long, h1 long, h2 long, id long, vec binary")
     # Rows of each leaf and role: a bounded table, as levels, trees and lengths are.
-    filled = {(r.leaf, r.role): r["count"] for r in base.mapInArrow(place, f"{keys}, vec array<double>").groupBy("leaf", "role").count().collect()}
+    filled = {(r.leaf, r.role): r.n for r in base.mapInArrow(tally, "leaf long, role long, n long").groupBy("leaf", "role").agg(F.sum("n").alias("n")).collect()}
     blocks = {key: -(-c // BLOCK_ROWS) for key, c in filled.items()}
     most = [max([b for (_, role), b in blocks.items() if role == r], default=1) for r in (0, 1)]
     table = rows.sparkSession.createDataFrame([(leaf, blocks.get((leaf, 0), 1), blocks.get((leaf, 1), 0)) for leaf, role in sorted(filled) if role == 0 and (leaf, 1) in filled], "leaf long, v_blocks int, q_blocks int")

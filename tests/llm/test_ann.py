@@ -99,7 +99,7 @@ def test_queue_opens_every_leaf_once_and_home_first():
     f = ann.Forest.fit(x, 4, 3)
     home = f.leaves(x[:5])
     for i in range(5):
-        order = f.search(x[i], 48)
+        order = f.search(f.sides(x[i : i + 1])[0], 48)
         assert sorted(order) == list(range(48)) and set(order[:3]) == set(home[:, i].tolist())
     assert all(np.bincount(row >> 0, minlength=16 * (t + 1))[16 * t :].min() >= 20 for t, row in enumerate(f.leaves(x)))
 
