@@ -130,21 +130,21 @@ def _augmented(vectors: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([vectors, np.sqrt(np.maximum(0.0, top - np.einsum("nd,nd->n", vectors, vectors)))[:, None]])
 
 
-def best_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of the k largest inner products of each query over vectors with other ids, ties to the smaller id.
 
-    A matrix product selects, with room for its rounding; then each score is computed alone, so that
+    Where floor is given, scores below each query's floor may be left out. A matrix product selects, with room for its rounding; then each score is computed alone, so that
     the same pair has the same score wherever it is met.
     """
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     step = max(1, STEP_NUMBERS // max(1, vectors.size))
     for a in range(0, len(queries), step):
         rough = queries[a : a + step] @ vectors.T
+        least = np.full((len(rough), 1), -np.inf) if floor is None else floor[a : a + step, None]
         if rough.shape[1] > k + 1:
-            least = np.partition(rough, rough.shape[1] - k - 1, axis=1)[:, [rough.shape[1] - k - 1]]
-            q, c = np.nonzero(rough >= least - 1e-9 * np.maximum(1.0, np.abs(least)))
-        else:
-            q, c = (x.reshape(-1) for x in np.indices(rough.shape))
+            more = np.flatnonzero((rough >= least).sum(1) > k + 1)
+            least[more] = np.partition(rough[more], rough.shape[1] - k - 1, axis=1)[:, [rough.shape[1] - k - 1]]
+        q, c = np.nonzero(rough >= least - 1e-9 * np.maximum(1.0, np.abs(least)))
         q = q + a
         others = ids[c] != own[q]
         q, c = q[others], c[others]
@@ -162,43 +162,46 @@ class _BestOf:
     """Scores the blocks of a partition as they stream by, sorted by block and role, and keeps the best k of each query over all of them."""
 
     k: int
-    #: Rows that are kept before only the best of them go on, and rows beyond which those are handed out.
-    held: int = 200_000
+    #: Rows that are kept at least before only the best of them go on, and rows beyond which those are handed out.
+    held: int = 20_000
     most: int = 1_000_000
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
         rest: pa.Table | None = None
-        size = 0
+        size, least = 0, 0
+        floors: dict[tuple[int, int], float] = {}
         for batch in batches:
             part = pa.Table.from_batches([batch])
             rest = part if rest is None else pa.concat_tables([rest, part])
             block = np.stack([rest[c].to_numpy() for c in ("leaf", "vb", "qb")])
             cuts = np.concatenate([[0], np.flatnonzero((block[:, 1:] != block[:, :-1]).any(0)) + 1]) if len(rest) else np.zeros(1, int)
             for a, b in zip(cuts[:-1], cuts[1:]):
-                kept.append(self.block(rest.slice(a, b - a)))
+                kept.append(self.block(rest.slice(a, b - a), floors))
                 size += len(kept[-1][0])
             rest = rest.slice(cuts[-1]).combine_chunks()
-            if size > self.held:
+            if size > max(self.held, 2 * least):
                 kept = [self.reduced(kept)]
-                size = len(kept[0][0])
+                size = least = len(kept[0][0])
+                floors = self.floors(kept[0])
                 if size > self.most:
                     yield self.rows(kept[0])
-                    kept, size = [], 0
+                    kept, size, least, floors = [], 0, 0, {}
         if rest is not None and len(rest):
-            kept.append(self.block(rest))
+            kept.append(self.block(rest, floors))
         if kept:
             yield self.rows(self.reduced(kept))
 
-    def block(self, group: pa.Table) -> tuple[np.ndarray, ...]:
-        """h1, h2, c1, c2, id, score of the best pairs of a block's queries and vectors. A query's own vector is a candidate here: its copies have other ids."""
+    def block(self, group: pa.Table, floors: dict[tuple[int, int], float]) -> tuple[np.ndarray, ...]:
+        """h1, h2, c1, c2, id, score of the best pairs of a block's queries and vectors, but for pairs below their query's floor. A query's own vector is a candidate here: its copies have other ids."""
         role = group["role"].to_numpy()
         n = int((role == 0).sum())
         b, a = group.slice(0, n), group.slice(n)
         if not len(a) or not len(b):
             return tuple(np.zeros(0, np.int64) for _ in range(5)) + (np.zeros(0),)
         ids = b["id"].to_numpy()
-        q, c, s = best_of(_unpacked(a["vec"]), np.full(len(a), np.iinfo(np.int64).min), _unpacked(b["vec"]), ids, self.k)
+        floor = np.array([floors.get(key, -np.inf) for key in zip(a["h1"].to_pylist(), a["h2"].to_pylist())])
+        q, c, s = best_of(_unpacked(a["vec"]), np.full(len(a), np.iinfo(np.int64).min), _unpacked(b["vec"]), ids, self.k, floor)
         pick = lambda t, name, at: t[name].to_numpy()[at]
         return pick(a, "h1", q), pick(a, "h2", q), pick(b, "h1", c), pick(b, "h2", c), ids[c], s
 
@@ -215,6 +218,13 @@ class _BestOf:
             h1, h2, c1, c2, ids, s = (x[place < self.k] for x in (h1, h2, c1, c2, ids, s))
         return h1, h2, c1, c2, ids, s
 
+    def floors(self, best: tuple[np.ndarray, ...]) -> dict[tuple[int, int], float]:
+        """The score of the k-th of each query that has so many, in rows as reduced() gives them: a pair below it is not among the best."""
+        h1, h2, s = best[0], best[1], best[5]
+        last = np.arange(self.k - 1, len(s))
+        last = last[(h1[last] == h1[last - self.k + 1]) & (h2[last] == h2[last - self.k + 1])]
+        return dict(zip(zip(h1[last].tolist(), h2[last].tolist()), s[last].tolist()))
+
     @staticmethod
     def rows(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "c1", "c2", "id", "score"])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pagewise.llm import ann
@@ -109,3 +110,23 @@ def test_best_of_with_ties(k):
     v = np.array([[1.0, 0], [1, 0], [0, 1], [1, 0], [2, 0]])
     q, c, s = ann.best_of(np.array([[1.0, 0.0]]), np.array([9]), v, np.array([7, 3, 1, 5, 9]), k)
     assert [int(i) for i in np.array([7, 3, 1, 5, 9])[c]] == [3, 5, 7, 1][:k] and not q.any() and s[0] == 1
+
+
+def test_floors_lose_none_of_the_best():
+    """Blocks with repeated vectors, handed over one by one: the best of all, as by one scan."""
+    r = np.random.default_rng(6)
+    queries, vectors = r.integers(-3, 4, (30, 3)).astype(float), r.integers(-3, 4, (900, 3)).astype(float)
+    tables = []
+    for n in range(20):
+        at = r.permutation(900)[:300]
+        role, x, h = np.repeat([0, 1], [300, 30]), np.vstack([vectors[at], queries]), np.concatenate([at, np.arange(30) + 5000])
+        tables.append(pa.table({"leaf": np.full(330, n), "vb": np.zeros(330, int), "qb": np.zeros(330, int), "role": role, "h1": h, "h2": h, "id": h, "vec": ann._packed(x)}))
+    seen = np.unique(np.concatenate([t["h1"].to_numpy()[:300] for t in tables]))
+    for held, most in ((200, 10**6), (200, 100), (10**6, 10**6)):
+        best = ann._BestOf(5, held, most)
+        out = list(best.run(b for t in tables for b in t.to_batches(max_chunksize=170)))
+        h1, _, c1, _, _, s = best.reduced([tuple(c.to_numpy() for c in b.columns) for b in out])
+        for q in range(30):
+            score = vectors[seen] @ queries[q]
+            want = np.lexsort((seen, -score))[:5]
+            assert c1[h1 == q + 5000].tolist() == seen[want].tolist() and s[h1 == q + 5000].tolist() == score[want].tolist()
