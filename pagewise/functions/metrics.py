@@ -11,15 +11,15 @@ from .text import collapse, tokens
 
 #: Characters that a comparison looks at: edit distance is quadratic.
 MAX_COMPARED = 4000
-#: Product of two lengths from which their distance is worth a way out of the JVM.
-LONG_PRODUCT = 1_000_000
+#: Product of two lengths from which their distance is worth a way out of the JVM: by bits it takes a third of the time there, and a tenth from ten times that on.
+LONG_PRODUCT = 100_000
 
 
 def disagreement(a: Column, b: Column) -> Column:
     """Edit distance of the collapsed texts as a share of the longer, over the first MAX_COMPARED characters. Symmetric."""
     x, y = (F.substring(collapse(F.coalesce(t, F.lit(""))), 1, MAX_COMPARED) for t in (a, b))
     n, m = F.length(x), F.length(y)
-    return F.when((n == 0) & (m == 0), F.lit(0.0)).when((n == 0) | (m == 0), F.lit(1.0)).otherwise(F.levenshtein(x, y) / F.greatest(n, m))
+    return F.when((n == 0) & (m == 0), F.lit(0.0)).when((n == 0) | (m == 0), F.lit(1.0)).otherwise(edit_distance(x, y) / F.greatest(n, m))
 
 
 def error_rate(distance: Column, expected: Column, actual: Column) -> Column:
