@@ -548,7 +548,7 @@ def disagreement(spark, sf_dir):
 def disagreement_whole(spark, sf_dir):
     """The same with the character error rate, which has no bound: every whole text."""
     a, b = F.col("text"), F.regexp_replace("text", "[aeiou]", "")
-    return texts(spark, sf_dir).select("doc_id", rounded(metrics.disagreement(a, b)).alias("disagreement"), rounded(metrics.cer(a, b)).alias("cer"))
+    return texts(spark, sf_dir).select("doc_id", rounded(metrics.disagreement(a, b, metrics.edit_distance)).alias("disagreement"), rounded(metrics.cer(a, b)).alias("cer"))
 
 
 @query("select item_id, round(cast(2 as double) / (len(regexp_split_to_array(trim(text), '\\s+')) + 1), 6) as wer from benchmark where trim(text) <> ''")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.metrics import disagreement
+from ..functions.metrics import disagreement, edit_distance
 from ..functions.quality import Weights, plain_text, score_pages
 from ..operators import routing as R
 from ..operators.cache import PageCache
@@ -182,7 +182,7 @@ def _escalate(sources, current, todo, vision, config, weights, cache, values):
         got, ran = _extract(sources, worst.select(*ON), vision, cache)
         runs = runs.union(ran)
         said = _read(got).where(F.size("blocks") > 0)
-        compared = said.join(worst.select(*ON, "text"), ON).withColumn("d", disagreement(F.col("text"), _text("blocks")))
+        compared = said.join(worst.select(*ON, "text"), ON).withColumn("d", disagreement(F.col("text"), _text("blocks"), edit_distance))
         probes = materialise(compared.where(F.col("d") >= config.vision_disagreement).drop("d", "text"))
         targets = below.unionByName(ranked.join(probes.select("document_id").distinct(), "document_id", "left_semi")).dropDuplicates(ON)
         answers.append(probes)
