@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import zipfile
+from importlib.resources import files
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import collapse, tokens
 
 #: Characters that a comparison looks at: edit distance is quadratic.
 MAX_COMPARED = 4000
-#: Product of two lengths from which their distance is worth a way out of the JVM: by bits it takes a third of the time there, and a tenth from ten times that on.
-LONG_PRODUCT = 100_000
+#: Name of the edit distance in a session.
+DISTANCE = "pagewise_edit_distance"
+
+
+def _register_distance(spark: SparkSession) -> None:
+    """EditDistance.java as a function of the session: compiled by the compiler that Spark brings for its own code, and sent to the executors as a jar of one class."""
+    if spark.catalog.functionExists(DISTANCE):
+        return
+    compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.cook(files(__package__).joinpath("EditDistance.java").read_text())
+    codes, jar = compiler.getBytecodes(), f"{tempfile.mkdtemp(prefix='pagewise-jvm-')}/edit-distance.jar"
+    with zipfile.ZipFile(jar, "w") as out:
+        for name in codes:
+            out.writestr(f"{name.replace('.', '/')}.class", bytes(codes[name]))
+    session = spark._jsparkSession
+    session.sessionState().resourceLoader().addJar(jar)
+    made = session.sharedState().jarClassLoader().loadClass("pagewise.EditDistance").getDeclaredConstructors()[0].newInstance(spark.sparkContext._gateway.new_array(spark._jvm.Object, 0))
+    session.udf().register(DISTANCE, made, spark._jvm.org.apache.spark.sql.types.DataTypes.IntegerType)
 
 
-def disagreement(a: Column, b: Column, distance: Callable[[Column, Column], Column] = F.levenshtein) -> Column:
-    """Edit distance of the collapsed texts as a share of the longer, over the first MAX_COMPARED characters. Symmetric. The built-in distance stays in the JVM; edit_distance() is several times as fast on long texts."""
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance in code points, of texts of any length. It stays in the JVM; 64 cells of the table of distances are a few operations on whole numbers, of which the built-in one does each by itself."""
+    _register_distance(SparkSession.active())
+    return F.call_function(DISTANCE, a, b)
+
+
+def disagreement(a: Column, b: Column) -> Column:
+    """Edit distance of the collapsed texts as a share of the longer, over the first MAX_COMPARED characters. Symmetric."""
     x, y = (F.substring(collapse(F.coalesce(t, F.lit(""))), 1, MAX_COMPARED) for t in (a, b))
     n, m = F.length(x), F.length(y)
-    return F.when((n == 0) & (m == 0), F.lit(0.0)).when((n == 0) | (m == 0), F.lit(1.0)).otherwise(distance(x, y) / F.greatest(n, m))
+    return F.when((n == 0) & (m == 0), F.lit(0.0)).when((n == 0) | (m == 0), F.lit(1.0)).otherwise(edit_distance(x, y) / F.greatest(n, m))
 
 
 def error_rate(distance: Column, expected: Column, actual: Column) -> Column:
@@ -29,37 +51,6 @@ def error_rate(distance: Column, expected: Column, actual: Column) -> Column:
     return F.when(expected == 0, F.when(actual > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), distance / expected))
 
 
-def bit_distance(a: str, b: str) -> int:
-    """Edit distance in code points. A column of the table of distances is the bits of one number that say where it goes up and down, so a letter of b costs a few operations on whole numbers."""
-    if not a or not b:
-        return len(a) + len(b)
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    every, last, out = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = every, 0
-    for c in b:
-        same = at.get(c, 0)
-        same_or_down = same | down
-        flat = (((same & up) + up) ^ up) | same
-        right_up, right_down = down | (every & ~(flat | up)), up & flat
-        out += bool(right_up & last) - bool(right_down & last)
-        right_up, right_down = (right_up << 1 | 1) & every, right_down << 1 & every
-        up, down = right_down | (every & ~(same_or_down | right_up)), right_up & same_or_down
-    return out
-
-
-@F.pandas_udf(T.IntegerType())
-def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
-
-
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance in code points: the built-in one, whose time is the product of the lengths, up to LONG_PRODUCT, beyond it by bits. Only long pairs leave the JVM."""
-    long = F.length(a).cast("long") * F.length(b) > LONG_PRODUCT
-    return F.when(long, _long_distance(F.when(long, a), F.when(long, b))).otherwise(F.levenshtein(F.when(~long, a), F.when(~long, b)))
-
-
 def cer(expected: Column, actual: Column) -> Column:
     x, y = collapse(F.coalesce(expected, F.lit(""))), collapse(F.coalesce(actual, F.lit("")))
     return error_rate(edit_distance(x, y), F.length(x), F.length(y))

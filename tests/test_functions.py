@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pagewise.functions import metrics, quality, text
 from pyspark.sql import functions as F
@@ -62,6 +65,31 @@ def test_disagreement(spark, a, b, want):
     assert got.x == got.y == pytest.approx(want)
 
 
+def test_edit_distance_is_the_built_in_one_and_not_its_time(spark):
+    rnd = random.Random(8)
+    rows = [("", ""), ("", "ab"), ("kitten", "sitting"), ("\U0001f600é日", "é日\U0001f601"), ("a" * 64, "b" * 65), (None, "x"), ("ab" * 200, "ba" * 200)]
+    for _ in range(150):
+        letters = "ab" if rnd.random() < 0.5 else "abcdeé日\U0001f600 "
+        a = "".join(rnd.choices(letters, k=rnd.choice([1, 30, 63, 64, 65, 128, 300])))
+        b = a.replace("a", "") if rnd.random() < 0.3 else "".join(rnd.choices(letters, k=rnd.randrange(260))) if rnd.random() < 0.5 else "".join(rnd.choice(letters) if rnd.random() < 0.2 else c for c in a)
+        rows.append((a, b))
+    both = spark.createDataFrame(rows, "a string, b string")
+    got = both.select(metrics.edit_distance(F.col("a"), F.col("b")).alias("x"), metrics.edit_distance(F.col("b"), F.col("a")).alias("y"), F.levenshtein("a", "b").alias("z")).collect()
+    assert all(r.x == r.y == r.z for r in got)
+    long = "".join(rnd.choices("abcdefgh ", k=4000))
+    pairs = spark.createDataFrame([(f"{k}{long}", f"{long[::-1]}{k}") for k in range(40)], "a string, b string").coalesce(1).cache()
+    pairs.count()
+
+    def seconds(distance):
+        start = time.time()
+        pairs.agg(F.sum(distance(F.col("a"), F.col("b")))).collect()
+        return time.time() - start
+
+    seconds(metrics.edit_distance)
+    assert 4 * seconds(metrics.disagreement) < seconds(F.levenshtein)
+    assert not any(x in pairs.select(metrics.disagreement(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
 def test_error_rates(spark):
     df = spark.createDataFrame([("a b c d", "a x c d"), ("a b", ""), ("", ""), ("", "x"), ("ab", "abcdefgh"), ("w " * 500, "w " * 499)], "e string, g string")
     got = df.select(metrics.cer(F.col("e"), F.col("g")).alias("c"), metrics.wer(F.col("e"), F.col("g")).alias("w")).collect()
