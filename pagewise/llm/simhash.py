@@ -286,19 +286,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(of_fp, "fp").select(F.col("id").alias(doc_id), F.col("fp").alias(fingerprint), component)
 
 
-# Near duplicates by the similarity of their shingle sets. At 0.8, fingerprints of 64 bits differ in up to 17: no grid of
-# bits is both complete and selective there. So the cells are those of anchors, the least shingles of a text under several hashes,
-# which similar texts share; in a cell the embedding bounds and the fingerprints rule out; what stays is verified on the sets.
+# Near duplicates by the similarity of their shingle sets. At 0.8, fingerprints of 64 bits differ in 20 and more: no grid of
+# bits is both complete and selective there. So the cells are those of prefixes: in one order of all shingles, two sets of which
+# one has n elements and that share `least` of their union or more share one of the first n - least * n + 1 elements of each. In a
+# cell the sizes, and the elements that each set has in PARTS parts of the hashes, rule out; what stays is verified on the sets.
+# Every bound holds for every pair, so no link is lost, in cells of any size.
 
 #: Words of a shingle, and the least Jaccard similarity of near duplicates.
 WORDS, LEAST = 5, 0.8
-#: Bits that fingerprints of similar texts differ in at most (17 at 0.8, as measured; random ones differ in 32).
-SIMILAR_BITS = 20
-#: Anchors of a text: two texts at 0.8 share none of four with a chance of 0.2**4. As many more divide full cells.
-ANCHORS = 4
+#: Parts of the hashes in which the elements of a set are counted: a power of two, so that they have 8 elements on average or fewer, from the least number to the most. Unrelated sets are told apart up to some 25 a part.
+PARTS, MOST_PARTS = 64, 4096
+#: Shingles that the order puts last, most frequent at the end, lest their cells are full: those of so many texts or more in a sample of about so many. They decide the size of cells, never what is found.
+POPULAR, SEEN, SAMPLE = 65_536, 4, 8192
+#: Characters of a text up to which it may be in that sample.
+SAMPLE_TEXT = 16_384
 #: Texts of a group that one task holds the shingles of, at most twice as many; larger groups are dealt out as pairs of blocks.
 GROUP_BLOCK = 4096
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+#: Rows of three longs up to which the members of candidate groups are broadcast, and their texts not shuffled to meet them.
+BROADCAST_ROWS = 1 << 18
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = WORDS) -> list[np.ndarray]:
@@ -315,15 +320,38 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = WORDS) ->
     return out
 
 
-def sketch(own: np.ndarray) -> tuple[int, list[int]]:
-    """The SimHash of a set of shingles, and its anchors."""
+def prefix(own: np.ndarray, popular: np.ndarray, ranks: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The elements of a sorted set of which every set that is similar at `least` has one in its own prefix; a set without elements has the cell 0. popular: sorted; ranks: their order, behind all others."""
     if not len(own):
-        return 0, [0] * len(_ODD)
-    sums = np.zeros(64, np.int64)
-    for part in range(0, len(own), 65536):
-        sums += np.unpackbits(own[part : part + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    fp = int(np.packbits(2 * sums > len(own), bitorder="little").view("<u8")[0])
-    return fp, [int(mix(own * odd).min()) for odd in _ODD]
+        return np.zeros(1, np.uint64)
+    most = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1
+    if len(popular):
+        at = np.minimum(np.searchsorted(popular, own), len(popular) - 1)
+        late = popular[at] == own
+        if late.any():
+            own = np.concatenate([own[~late], own[late][np.argsort(ranks[at[late]])]])
+    return own[:most]
+
+
+def n_parts(n: float, most: int = MOST_PARTS) -> int:
+    """Parts for a set of n elements."""
+    return min(most, max(PARTS, 1 << (int(np.ceil(n / 8)) - 1).bit_length()))
+
+
+def counts_by_part(values: np.ndarray, sizes: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """The elements of each set in each part, (sets, parts), for sets one after the other in values. The parts of a smaller number are sums of those of a larger."""
+    part = (values & np.uint64(parts - 1)).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(len(sizes)) * parts, sizes) + part, minlength=len(sizes) * parts).reshape(-1, parts).astype(np.int32)
+
+
+def _folded(counts: np.ndarray, parts: int) -> np.ndarray:
+    """Counts, each the bytes of a set, as rows of `parts` parts."""
+    return np.stack([np.frombuffer(c, np.uint8).reshape(-1, parts).sum(0, dtype=np.int32) for c in counts])
+
+
+def _near(counts: np.ndarray, n: np.ndarray, own_counts: np.ndarray, own: np.ndarray, least: float) -> np.ndarray:
+    """Sets that may be as similar as `least` to their partner: the Manhattan distance of the counts is at most the number of elements that one of the two has alone."""
+    return np.abs(counts - own_counts).sum(1) <= (n + own) * (1 - least) / (1 + least) + 1e-6
 
 
 def _fitting(n: np.ndarray, own: int, least: float) -> np.ndarray:
@@ -331,15 +359,15 @@ def _fitting(n: np.ndarray, own: int, least: float) -> np.ndarray:
     return np.minimum(n, own) >= least * np.maximum(n, own) - 1e-9
 
 
-def _spanned(ids: np.ndarray, fps: np.ndarray, n: np.ndarray, least: float, verify=None) -> list[tuple[int, int]]:
-    """Links (id, id) that span the components of texts whose sizes and fingerprints fit and that verify(place, places) lets stand: a search from each over those not yet reached."""
-    points, rest, out = embed(fps), np.arange(len(ids)), []
+def _spanned(ids: np.ndarray, counts: np.ndarray, n: np.ndarray, least: float, verify=None) -> list[tuple[int, int]]:
+    """Links (id, id) that span the components of texts whose sizes and counts fit and that verify(place, places) lets stand: a search from each over those not yet reached."""
+    rest, out = np.arange(len(ids)), []
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             k = queue.pop()
             near = rest[_fitting(n[rest], n[k], least)]
-            near = near[within(points[near], fps[near], points[k], fps[k], SIMILAR_BITS)]
+            near = near[_near(counts[near], n[near], counts[k], n[k], least)]
             if verify is not None and len(near):
                 near = near[verify(k, near)]
             if len(near):
@@ -372,40 +400,91 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _link_cells(keys: int, least: float):
+def _whole_cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, cuts): the rows whose keys are complete, of batches that are sorted by their first `keys` columns."""
+
+    def read(c: pa.Array) -> np.ndarray:
+        if not pa.types.is_binary(c.type):
+            return c.to_numpy(zero_copy_only=False)
+        out = np.empty(len(c), object)
+        out[:] = c.to_pylist()
+        return out
+
+    held: list[list[np.ndarray]] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = [read(c) for c in batch.columns]
+            held.append(new)
+            if len(held) > 1 and all(c[0] == c[-1] and h[-1] == c[0] for h, c in zip(held[-2][:keys], new[:keys])):
+                continue
+        if not held:
+            return
+        columns = [np.concatenate(c) for c in zip(*held)]
+        cuts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)) + 1, [len(columns[0])]])
+        cuts = cuts if batch is None else cuts[:-1]
+        yield columns, cuts
+        held = [[c[cuts[-1] :] for c in columns]]
+
+
+def _shared_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, id) sorted by cell to (key, id) of the cells of two or more. The key is a hash of the cell's ids, so cells of the same texts, as near copies have many, become one; should others, they are searched together."""
+    for (_, ids), cuts in _whole_cells(batches, 1):
+        sizes = np.diff(cuts)
+        if not len(sizes):
+            continue
+        keys = mix(np.add.reduceat(mix(ids[: cuts[-1]].view(np.uint64)), cuts[:-1]) + sizes.astype(np.uint64)).view(np.int64)
+        own = np.repeat(sizes > 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)[own]), pa.array(ids[: cuts[-1]][own])], names=["key", "id"])
+
+
+def _link_cells(least: float):
+    """Rows (key, two block numbers, id, n, counts), sorted, to the links that span each cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-        for group in _groups(batches, keys):
-            out += _spanned(group["id"].to_numpy(), group["fp"].to_numpy(), group["n"].to_numpy(), least)
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
+        for (_, _, _, ids, n, counts), cuts in _whole_cells(batches, 3):
+            out, parts = [], np.array([len(c) for c in counts])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if b - a == 2:
+                    if _fitting(n[a], n[a + 1], least):
+                        both = _folded(counts[a:b], min(parts[a], parts[a + 1]))
+                        if _near(both[:1], n[a], both[1], n[a + 1], least)[0]:
+                            out.append((int(ids[a]), int(ids[a + 1])))
+                elif b - a > 2:
+                    # Sets of similar sizes have numbers of parts as similar.
+                    for least_parts in np.unique(parts[a:b]).tolist():
+                        own = a + np.flatnonzero((parts[a:b] >= least_parts) & (parts[a:b] < 2 * least_parts / least))
+                        if len(own) > 1:
+                            out += _spanned(ids[own], _folded(counts[own], least_parts), n[own], least)
+            yield _pairs(out)
 
     return run
 
 
+def _dealt(rows: DataFrame, root: str, size: str, block: int, carried: list[str]) -> DataFrame:
+    """root, b1, b2 and the carried columns (id among them): each row once for every pair of blocks that its own is in, for `size` rows of a root in blocks of about `block`. Every two rows of a root meet."""
+    blocks = F.ceil(F.col(size) / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    dealt = rows.select(root, *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    return dealt.select(root, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), *carried)
+
+
 def candidate_links(nodes: DataFrame, least: float = LEAST, full_cell: int = FULL_CELL) -> DataFrame:
-    """Links (a, b) of nodes (id, fp, n, anchors) that share an anchor and whose sizes and fingerprints may be similar: a set that spans their components.
+    """Links (a, b) of nodes (id, n, counts, prefix) that share an element of their prefixes and whose sizes and counts may be those of similar sets: a set that spans their components.
 
-    Cells of one node go by a count. Those of more than full_cell nodes, of passages that very many
-    texts share, are divided by the other anchors, inside their cell.
+    A cell of more than full_cell nodes is dealt out as pairs of blocks, so all its pairs are searched.
     """
-    cells = cut(nodes.select("id", "fp", "n", F.slice("anchors", ANCHORS + 1, ANCHORS).alias("more"), F.posexplode(F.slice("anchors", 1, ANCHORS)).alias("grid", "cell")))
-    counted = cut(cells.groupBy("grid", "cell").agg(F.count("*").alias("size")).where("size > 1"))
-    keys = ["grid", "cell"]
-    shared = cells.join(counted.where(F.col("size") <= full_cell), keys)
-    search = lambda rows, by: rows.select(*by, "id", "fp", "n").repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(_link_cells(len(by), least), "a long, b long")
-    found = search(shared, keys)
-    full = counted.where(F.col("size") > full_cell)
-    if full.take(1):
-        inside = cells.join(full, keys).select(*keys, "id", "fp", "n", F.posexplode("more").alias("grid2", "cell2"))
-        found = found.union(search(inside, [*keys, "grid2", "cell2"]))
-    return found.distinct()
+    cells = nodes.select(F.explode("prefix").alias("cell"), "id").repartition("cell").sortWithinPartitions("cell")
+    shared = cut(cells.mapInArrow(_shared_cells, "key long, id long").distinct())
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key").join(nodes.select("id", "n", "counts"), "id")
+    by = ["key", "b1", "b2"]
+    dealt = _dealt(sized, "key", "size", full_cell, ["id", "n", "counts"]).repartition(*by).sortWithinPartitions(*by, "id")
+    return dealt.mapInArrow(_link_cells(least), "a long, b long").distinct()
 
 
 def _verified(least: float):
-    """Rows of one group (root, two block numbers, id, n, fp, shingles), sorted, to the links that their shingle sets bear out."""
+    """Rows of one group (root, two block numbers, id, n, shingles), sorted, to the links that their shingle sets bear out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -427,7 +506,7 @@ def _verified(least: float):
                     out[i : i + 256] = both >= least * every - 1e-9
                 return out
 
-            yield _pairs(_spanned(group["id"].to_numpy(), group["fp"].to_numpy(), n, least, similar))
+            yield _pairs(_spanned(group["id"].to_numpy(), counts_by_part(values, n, n_parts(n.mean(), 1024)), n, least, similar))
 
     return run
 
@@ -437,17 +516,16 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, least: float = LEAST,
 
     Words are as for the fingerprints. Texts are linked where the Jaccard similarity of their sets of
     `shingle` words is `least` or more; a group is what links reach. Equal texts are one node. Texts
-    without words are alike. A link is found unless two texts share none of their anchors: of pairs at 0.8, 1.6 in
-    1000, fewer above.
+    without words are alike. Every link is found.
 
-    Candidates are found on sketches alone (fingerprint, size and anchors); the texts of candidates are
+    Candidates are found on prefixes, sizes and counts alone; the texts of candidates are
     read again for their shingles, each once and only in its candidate group, and every link is
     verified on them. A group of more than `block` texts is dealt out as pairs of blocks.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("body")).where("id is not null")
     hashed = rows.select("id", "body", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("second"), "body").alias("h2"))
-    sketched = hashed.mapInArrow(_sketches(shingle), "id long, h1 long, h2 long, fp long, n long, anchors array<long>")
-    nodes = cut(sketched.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("anchors").alias("anchors")))
+    sketched = hashed.mapInArrow(_sketches(shingle, least, *_popular(hashed, shingle)), "id long, h1 long, h2 long, n long, counts binary, prefix array<long>")
+    nodes = cut(sketched.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")).drop("h1", "h2"))
     grouped = components(candidate_links(nodes, least, full_cell)).withColumnsRenamed({"node": "id"})
     sized = cut(grouped.join(grouped.groupBy("root").agg(F.count("*").alias("size")), "root"))
 
@@ -457,30 +535,53 @@ def similar_groups(docs: DataFrame, shingle: int = WORDS, least: float = LEAST,
                 own = shingle_sets(data, offsets, shingle)
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in own])]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)))
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([len(x) for x in own], pa.int64()), pa.array([_signed(sketch(x)[0]) for x in own], pa.int64()), values], names=["root", "b1", "b2", "id", "n", "fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), pa.array([len(x) for x in own], pa.int64()), values], names=["root", "b1", "b2", "id", "n", "shingles"])
 
     # The first of equal rows of an id: a node's text, once.
-    texts = rows.join(sized, "id").groupBy("id", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"), F.first("root").alias("root"), F.first("size").alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = texts.select("root", "id", "body", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "id", "body")
-    sets = dealt.mapInArrow(shingles, "root long, b1 int, b2 int, id long, n long, fp long, shingles array<long>")
+    members = F.broadcast(sized) if sized.count() <= BROADCAST_ROWS else sized
+    texts = rows.join(members, "id").groupBy("id", F.xxhash64("body").alias("h")).agg(F.first("body").alias("body"), F.first("root").alias("root"), F.first("size").alias("size"))
+    sets = _dealt(texts, "root", "size", block, ["id", "body"]).mapInArrow(shingles, "root long, b1 int, b2 int, id long, n long, shingles array<long>")
     by = ["root", "b1", "b2"]
     links = sets.repartition(*by).sortWithinPartitions(*by, "id").mapInArrow(_verified(least), "a long, b long")
     dropped = components(links.distinct()).where("node <> root").select(F.col("node").alias("id")).distinct()
     return nodes, dropped
 
 
-def _sketches(shingle: int):
-    """id, text and two hashes to id, hashes, fp, n and anchors."""
+def _popular(hashed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks): frequent shingles of a sample of hashed (body, h1), sorted, and their order by the number of texts."""
+    every = max(1, hashed.count() // SAMPLE)
+    sample = hashed.where((F.pmod("h1", F.lit(every)) == 0) & (F.length("body") <= SAMPLE_TEXT)).dropDuplicates(["h1"]).select("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sketch(x) + (len(x),) for _, _, data, offsets in text_steps(batch.column(1)) for x in shingle_sets(data, offsets, shingle)]
+            for _, _, data, offsets in text_steps(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(data, offsets, shingle)).view(np.int64))], names=["h"])
+
+    seen = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(POPULAR).toArrow()
+    values, n = seen["h"].to_numpy().view(np.uint64), seen["n"].to_numpy()
+    ranks = np.empty(len(n), np.int64)
+    ranks[np.lexsort((values, n))] = np.arange(len(n))
+    order = np.argsort(values)
+    return values[order], ranks[order]
+
+
+def _sketches(shingle: int, least: float, popular: np.ndarray, ranks: np.ndarray):
+    """id, text and two hashes to id, hashes, n, counts (no more than 255, which bounds as well) and prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, counts, cells = [], [], []
+            for _, _, data, offsets in text_steps(batch.column(1)):
+                own = shingle_sets(data, offsets, shingle)
+                n = np.array([len(x) for x in own])
+                sizes.append(n)
+                counts += [np.minimum(counts_by_part(x, np.array([len(x)]), n_parts(len(x)))[0], 255).astype(np.uint8).tobytes() for x in own]
+                cells += [prefix(x, popular, ranks, least) for x in own]
+            ends = pa.array(np.cumsum([0, *(len(x) for x in cells)]), pa.int32())
+            values = pa.array(np.concatenate([np.zeros(0, np.uint64), *cells]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array([_signed(f) for f, _, _ in got], pa.int64()), pa.array([n for _, _, n in got], pa.int64()), pa.array([[_signed(x) for x in a] for _, a, _ in got], pa.list_(pa.int64()))],
-                names=["id", "h1", "h2", "fp", "n", "anchors"],
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(ends, values)],
+                names=["id", "h1", "h2", "n", "counts", "prefix"],
             )
 
     return run

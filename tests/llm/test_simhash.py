@@ -150,6 +150,43 @@ def test_similar_texts_by_brute_force(spark, full_cell, block):
     assert len(kept - want) <= 1
 
 
+@pytest.mark.parametrize(("full_cell", "block"), [(1024, 4096), (3, 4)])
+def test_no_link_of_similar_texts_is_lost(spark, full_cell, block):
+    """Pairs at exactly 0.8, some of which share no anchor or differ in more bits than a sketch allows, and in cells fuller than full_cell."""
+    rnd, rows = random.Random(31), []
+    words = lambda n: [f"{rnd.getrandbits(32):x}" for _ in range(n)]
+    passage = words(12)
+    for k in range(300):
+        base = words(12) if k % 2 else passage[:8] + words(4) if k % 4 else passage + words(20)
+        base = base if k % 4 else base + words(4)
+        n = len(base) - 4
+        # A word more at the end of both: of n + 2 shingles, n are shared where n is 8; longer ones lose n / 8 each.
+        rows += [" ".join([*base, *words(n // 8)]), " ".join([*base, *words(n // 8)])]
+    rows += ["", " \n", "\t"]
+    pairs = [(a, b) for a, b in zip(rows[:600:2], rows[1:600:2])]
+    assert all(5 * len(shingles_of(a) & shingles_of(b)) == 4 * len(shingles_of(a) | shingles_of(b)) for a, b in pairs)
+    nodes, dropped = s.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3), full_cell=full_cell, block=block)
+    assert {r.id for r in dropped.collect()} == {*range(1, 600, 2), 601, 602}
+    assert {r.id for r in nodes.collect()} == set(range(603))
+
+
+def test_prefixes_and_counts_bound_every_similar_pair():
+    r = np.random.default_rng(5)
+    late = np.sort(r.integers(0, 1 << 63, 40).astype(np.uint64))
+    ranks = r.permutation(40)
+    for _ in range(400):
+        n, m = int(r.integers(1, 120)), 0
+        both = np.concatenate([r.integers(0, 1 << 63, n).astype(np.uint64), r.choice(late, int(r.integers(0, 41)), replace=False)])
+        alone = len(both) // 4
+        m = int(r.integers(0, alone + 1))
+        more = r.integers(0, 1 << 63, alone).astype(np.uint64)
+        a, b = np.unique(np.concatenate([both, more[:m]])), np.unique(np.concatenate([both, more[m:]]))
+        assert np.intersect1d(s.prefix(a, late, ranks), s.prefix(b, late, ranks)).size
+        sizes = np.array([len(a), len(b)])
+        counts = s.counts_by_part(np.concatenate([a, b]), sizes)
+        assert s._near(counts[:1], sizes[:1], counts[1], sizes[1], 0.8).all() and counts.sum() == sizes.sum()
+
+
 def test_manhattan_distance_bounds_the_bits():
     r = np.random.default_rng(2)
     fps = r.integers(-(1 << 63), 1 << 63, 3000)
