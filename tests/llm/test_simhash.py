@@ -170,6 +170,17 @@ def test_no_link_of_similar_texts_is_lost(spark, full_cell, block):
     assert {r.id for r in nodes.collect()} == set(range(603))
 
 
+@pytest.mark.parametrize("seeds", [[254, 390, 439, 453, 564, 819, 3806, 5662]])
+def test_pairs_that_anchors_or_fingerprints_lost(spark, seeds):
+    rows = []
+    for k in seeds:
+        r = random.Random(k)
+        w = [f"{r.getrandbits(32):x}" for _ in range(14)]
+        rows += [" ".join([*w[:12], x]) for x in w[12:]]
+    _, dropped = s.similar_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.id for r in dropped.collect()} == set(range(1, len(rows), 2))
+
+
 def test_prefixes_and_counts_bound_every_similar_pair():
     r = np.random.default_rng(5)
     late = np.sort(r.integers(0, 1 << 63, 40).astype(np.uint64))
